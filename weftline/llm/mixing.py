@@ -92,7 +92,7 @@ def plan_mix(
     """(narrow rows, plan). The plan has for each source its size, target, complete epochs and the bounds of its sample.
 
     After a first pass in key order a budget is left that the next document exceeds; two more passes look behind that
-    document for ones that fit, and at the end the document at the bound is taken if that comes nearer to the target.
+    document for ones that fit, and at the end one of the documents at the three bounds is taken if that comes nearer.
     """
     rows = keyed(docs, id_col, text_col, source_col, seed, quality)
     rows = saved(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")))
@@ -111,9 +111,11 @@ def plan_mix(
         step = plan.join(found, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
         plan = step.withColumn(f"left{k + 1}", F.col(f"left{k}") - F.coalesce("used", F.lit(0)))
         plan = plan.withColumn(f"next{k + 1}", F.coalesce("next_key", F.lit(math.inf)))
-        plan = plan.withColumn("nearer", F.coalesce((F.col("next_size") > 0) & (F.col("next_size") < 2 * F.col(f"left{k + 1}")), F.lit(False)))
+        plan = plan.withColumn(f"size{k + 1}", F.coalesce("next_size", F.lit(0)))
         plan = saved(plan.drop("next_key", "next_size", "used"))
-    return rows, plan
+    left = F.col(f"left{ROUNDS}")
+    bounds = [F.when((F.col(f"size{k}") > 0) & (F.col(f"size{k}") < 2 * left), F.struct(F.abs(F.col(f"size{k}") - left).alias("off"), F.col(f"next{k}").alias("key"))) for k in range(1, ROUNDS + 1)]
+    return rows, plan.withColumn("nearest", F.array_min(F.array(*bounds))["key"])
 
 
 def _copies() -> Column:
@@ -121,7 +123,7 @@ def _copies() -> Column:
     chosen, key, size = F.col("key") < F.col("next1"), F.col("key"), F.col("size")
     for k in range(1, ROUNDS):
         chosen |= (key > F.col(f"next{k}")) & (size <= F.col(f"left{k}")) & (key < F.col(f"next{k + 1}"))
-    chosen |= F.col("nearer") & (key == F.col(f"next{ROUNDS}")) & ((size <= F.col(f"left{ROUNDS - 1}")) | F.lit(ROUNDS == 1))
+    chosen |= F.coalesce(key == F.col("nearest"), F.lit(False))
     return F.col("epochs") + F.when(chosen & (F.col("left0") > 0), 1).otherwise(0)
 
 

@@ -20,24 +20,26 @@ from .tokens import encoder
 
 #: Documents and tokens after which a block is closed; they bound a task's memory.
 BLOCK_DOCS, BLOCK_TOKENS = 20_000, 16_000_000
+#: The shortest of three lengths is at most this part of the window; it keeps the enumeration near 40,000 combinations.
+SHALLOW = 10
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Rows of up to three of the given lengths, ascending and with 0 for none, that add up to the window."""
+    """Rows of up to three of the given lengths, ascending and with 0 for none, that add up to the window; of three, one is short."""
     have = np.zeros(window + 1, bool)
     have[lengths] = True
     a = lengths[lengths * 2 <= window]
     pairs = a[have[window - a]]
     found = [np.stack([np.zeros_like(pairs), pairs, window - pairs], 1)]
-    for x in lengths[lengths * 3 <= window]:
+    for x in lengths[lengths * SHALLOW <= window]:
         y = lengths[(lengths >= x) & (lengths * 2 <= window - x)]
         y = y[have[window - x - y]]
         found.append(np.stack([np.full_like(y, x), y, window - x - y], 1))
     return np.concatenate(found)
 
 
-def nnls(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.ndarray:
+def nnls(combos: np.ndarray, histogram: np.ndarray, steps: int = 40) -> np.ndarray:
     """x >= 0 that brings the lengths used by ``combos`` close to the histogram: accelerated projected gradient."""
     if not len(combos):
         return np.zeros(0)
@@ -47,12 +49,12 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.ndar
         return np.bincount(combos.ravel(), np.repeat(x, 3), size)
 
     v = np.ones(len(combos))
-    for _ in range(12):  # largest eigenvalue of A'A
+    for _ in range(6):  # largest eigenvalue of A'A
         u = used(v)
         u[0] = 0
         v = u[combos].sum(1)
         v /= (norm := np.sqrt(v @ v))
-    rate, x = 1 / (1.05 * norm), np.zeros(len(combos))
+    rate, x = 1 / (1.2 * norm), np.zeros(len(combos))
     y, t = x, 1.0
     for _ in range(steps):
         r = used(y) - histogram
@@ -66,19 +68,21 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.ndar
 def round_down(combos: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """Whole repeat counts. The fit is rounded to the nearest and, where a length would be overdrawn, cut back greedily."""
     left, counts = histogram.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
-    for k in np.argsort(-x, kind="stable"):
-        parts = combos[k][combos[k] > 0]
-        lengths, times = np.unique(parts, return_counts=True)
-        n = int(min(np.rint(x[k]), (left[lengths] // times).min()))
+
+    def take(k, most):
+        parts = combos[k].tolist()
+        n = min(most, *(left[p] // parts.count(p) for p in parts if p))
         if n > 0:
-            counts[k], left[lengths] = n, left[lengths] - n * times
-        elif x[k] < 0.5:
-            break
-    for k in np.argsort(-x, kind="stable"):  # exact fits that rounding has left
-        lengths, times = np.unique(combos[k][combos[k] > 0], return_counts=True)
-        if (left[lengths] >= times).all():
-            n = int((left[lengths] // times).min())
-            counts[k], left[lengths] = counts[k] + n, left[lengths] - n * times
+            counts[k] += n
+            for p in parts:
+                left[p] -= n if p else 0
+
+    wanted = np.flatnonzero(x >= 0.5)
+    for k in wanted[np.argsort(-x[wanted], kind="stable")]:
+        take(k, int(np.rint(x[k])))
+    rest = np.flatnonzero(((left[combos] > 0) | (combos == 0)).all(1))
+    for k in rest[np.argsort(-x[rest], kind="stable")]:  # exact fits that rounding has left
+        take(k, len(histogram) << 40)
     return counts
 
 

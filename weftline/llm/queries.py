@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files
+from . import mixing, packing, pii, quality_rules, token_files
 
 QUERIES = {
     "op9_mixing": mixing.query,
     "op7_packing": packing.query,
+    "op10_pii": pii.query,
+    "op6_quality_rules": quality_rules.query,
     "op3_token_files": token_files.query,
 }
 ORACLE_SQL: dict[str, str] = {}
