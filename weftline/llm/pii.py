@@ -17,6 +17,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,9 +201,7 @@ def pii(text: Column) -> Column:
     fitted = model()
 
     @F.pandas_udf(FOUND)
-    def run(texts: "pd.Series") -> "pd.DataFrame":  # noqa: F821, UP037
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.DataFrame:
         values = [t or "" for t in texts]
         rows = []
         for t, (base, added) in zip(values, find(values, fitted), strict=True):
