@@ -104,8 +104,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return narrow.mapInArrow(run, SCHEMA)
 
 
-def _share(histogram: Column) -> Column:
-    total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
+def _share(histogram: Column, total: Column) -> Column:
+    """Counts as parts of their total, a plain column that is not computed anew for each bin."""
     return F.transform(histogram, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
@@ -114,10 +114,11 @@ def _references(rows: DataFrame, column: str) -> DataFrame:
 
     Medians, unlike means, do not move with the junk that is to be found. Their sketches are merged map-side.
     """
-    bins = rows.where(F.col("n_words") >= MIN_WORDS).select("lang", F.posexplode(_share(F.col(column))).alias("bin", "share"))
+    bins = rows.where(F.col("n_words") >= MIN_WORDS).select("lang", F.posexplode(f"p_{column}").alias("bin", "share"))
     medians = bins.groupBy("lang", "bin").agg(F.percentile_approx("share", 0.5, 1000).alias("share"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"])
-    return medians.groupBy("lang").agg(_share(ordered).alias(f"ref_{column}"))
+    medians = medians.groupBy("lang").agg(ordered.alias("bins"), F.sum("share").alias("total"))
+    return medians.select("lang", _share(F.col("bins"), F.col("total")).alias(f"ref_{column}"))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -138,13 +139,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages without a long document have no reference and are judged by the base rules alone; repeated rows and null
     ids are judged each for itself; an empty table gives an empty table; other columns are not read.
     """
-    rows = saved(measure(docs, id_col, text_col, lang_col))
+    rows = saved(measure(docs, id_col, text_col, lang_col)).withColumn("n_chars", F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))
+    rows = rows.withColumn("p_classes", _share(F.col("classes"), F.col("n_chars"))).withColumn("p_words", _share(F.col("words"), F.col("n_words")))
     refs = _references(rows, "classes").join(_references(rows, "words").withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2")))
     refs = saved(refs.select(F.col("lang").alias("l_"), "ref_classes", "ref_words"))
     x = rows.join(small(refs), F.col("lang").eqNullSafe(F.col("l_")), "left")
     long_enough = F.col("n_words") >= MIN_WORDS
     for c in ("classes", "words"):
-        x = x.withColumn(f"d_{c}", F.when(long_enough, jensen_shannon(_share(F.col(c)), F.col(f"ref_{c}"))))
+        x = x.withColumn(f"d_{c}", F.when(long_enough, jensen_shannon(F.col(f"p_{c}"), F.col(f"ref_{c}"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.col("d_classes") > MAX_CLASS_DISTANCE + NOISE / F.sqrt("n_words")) | (F.col("d_words") > MAX_WORD_DISTANCE)
     return x.select(
