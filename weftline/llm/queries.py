@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, pii, quality_rules, token_files, toxicity
+from . import html_text, mixing, ngram_join, packing, pii, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op9_mixing": mixing.query,
     "op7_packing": packing.query,
     "op1_toxicity": toxicity.query,
+    "op5_html_text": html_text.query,
     "op10_pii": pii.query,
     "op8_ngram_join": ngram_join.query,
     "op6_quality_rules": quality_rules.query,
