@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_text, mixing, ngram_join, packing, pii, quality_rules, token_files, toxicity
+from . import embeddings, html_text, mixing, ngram_join, packing, pii, quality_rules, site_quality, token_files, toxicity
 
 QUERIES = {
     "op9_mixing": mixing.query,
     "op7_packing": packing.query,
     "op1_toxicity": toxicity.query,
     "op2_embeddings": embeddings.query,
+    "op4_site_quality": site_quality.query,
     "op5_html_text": html_text.query,
     "op10_pii": pii.query,
     "op8_ngram_join": ngram_join.query,
