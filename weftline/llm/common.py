@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A saved table of at most this many narrow rows may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

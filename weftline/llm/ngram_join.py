@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, table
+from .common import as_bytes, saved, small, table
 from .graph import Sets, components
 
 WIDTH, PERCENT = 5, 75
@@ -268,20 +268,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = able.select("id", "same").join(firsts, "same", "left").select("id", F.coalesce("first", "id").alias("rep"))
     named = saved(named)
 
-    keys = able.join(named.where("id = rep").select("id"), "id", "left_semi").select("id", "central", F.posexplode("hashes").alias("k", "hash"))
+    reps = saved(named.where("id = rep").select("id"))
+    keys = able.select("id", "central", "hashes").join(small(reps), "id", "left_semi").select("id", "central", F.posexplode("hashes").alias("k", "hash"))
     keys = saved(keys)
     sizes = keys.groupBy("k", "hash").agg(F.count("*").alias("m"), F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("c"))
     sizes = sizes.where("m > 1").select(F.col("k").alias("gk"), F.col("hash").alias("gh"), "m", (-F.col("c.id")).alias("centre"))
     best = keys.join(sizes, (F.col("k") == F.col("gk")) & (F.col("hash") == F.col("gh"))).groupBy("id").agg(F.max(F.struct("m", "gk", "gh", "centre")).alias("g"))
     share = F.pmod(F.xxhash64("id"), F.ceil(F.col("g.m") / BLOCK))
     groups = best.select("id", F.xxhash64("g.gk", "g.gh", share).alias("block"), F.col("g.centre").alias("centre"))
-    alone = named.where("id = rep").select("id").join(best.select("id"), "id", "left_anti").select("id", F.xxhash64("id").alias("block"), F.col("id").alias("centre"))
+    alone = reps.join(best.select("id"), "id", "left_anti").select("id", F.xxhash64("id").alias("block"), F.col("id").alias("centre"))
     groups = saved(groups.unionByName(alone))
 
     sets = able.select("id", "n", "tokens", "central")
     seats = groups.select("block", "id").union(groups.where("id <> centre").select("block", F.col("centre").alias("id"))).distinct()
     shared_blocks = seats.groupBy("block").agg(F.count("*").alias("seats")).where("seats > 1").select("block")
-    inside = seats.join(shared_blocks, "block", "left_semi").join(sets, "id")
+    inside = sets.join(small(saved(seats.join(shared_blocks, "block", "left_semi"))), "id")
     edges = saved(inside.groupBy("block").applyInArrow(_inside, "a long, b long"))
     comps = components(edges)
     placed = groups.join(comps, F.col("id") == F.col("node"), "left").select("id", "block", F.coalesce("component", "id").alias("component"))
@@ -290,7 +291,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # The matrix: prefix shingles by block. The smaller component asks; a block answers if it holds a greater one.
     tops = placed.groupBy("block").agg(F.max("rank").alias("top"))
-    heads = placed.join(tops, "block").join(able.select("id", "n", "tokens"), "id").select("id", "block", "rank", "top", "n", "tokens")
+    heads = able.select("id", "n", "tokens").join(small(saved(placed.join(tops, "block"))), "id").select("id", "block", "rank", "top", "n", "tokens")
     heads = saved(heads.mapInArrow(_prefixes, "id long, block long, rank struct<members:long,component:long>, top struct<members:long,component:long>, head array<long>"))
     matrix = heads.select(F.explode("head").alias("token"), "block", "top").distinct()
     several = matrix.groupBy("token").agg(F.count("*").alias("blocks"), F.max("top").alias("greatest"))
@@ -302,9 +303,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     load = opened.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     queries = opened.join(load, "block").select("id", "component", "block", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     fresh = lambda: able.select("id", F.col("n").alias("n"), F.col("tokens").alias("tokens"))  # noqa: E731  columns of its own for each side
-    queries = queries.join(fresh(), "id").select(*[F.col(c).alias(c) for c in ("block", "salt", "component", "n", "tokens")])
+    queries = fresh().join(small(saved(queries)), "id").select(*[F.col(c).alias(c) for c in ("block", "salt", "component", "n", "tokens")])
     members = placed.join(load, "block").select("id", F.col("rank.component").alias("component"), "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    members = members.join(fresh(), "id").select(*[F.col(c).alias(c) for c in ("block", "salt", "component", "n", "tokens")])
+    members = fresh().join(small(saved(members)), "id").select(*[F.col(c).alias(c) for c in ("block", "salt", "component", "n", "tokens")])
     bridges = members.groupBy("block", "salt").cogroup(queries.groupBy("block", "salt")).applyInArrow(_open, "a long, b long")
     final = components(saved(bridges.distinct()))
 
