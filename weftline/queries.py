@@ -283,7 +283,8 @@ def _(s, d):
 
 # --- order and top-k -------------------------------------------------------------------------------------------------
 
-ORDER = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+def dearest() -> list:
+    return [F.desc("o_totalprice"), F.asc("o_orderkey")]
 
 
 def topk_sql(limit: str) -> str:
@@ -292,15 +293,15 @@ def topk_sql(limit: str) -> str:
 
 @query("topk", topk_sql("LIMIT 25"))
 def _(s, d):
-    return out(r.top_k(orders(s, d, "o_orderkey", "o_totalprice"), ORDER, 25))
+    return out(r.top_k(orders(s, d, "o_orderkey", "o_totalprice"), dearest(), 25))
 
 
 @query("topk_offset", topk_sql("LIMIT 20 OFFSET 30"))
 def _(s, d):
-    return out(r.top_k(orders(s, d, "o_orderkey", "o_totalprice"), ORDER, 20, 30))
+    return out(r.top_k(orders(s, d, "o_orderkey", "o_totalprice"), dearest(), 20, 30))
 
 
-@query("order_limit", "SELECT c_custkey, c_acctbal, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS INTEGER) AS rank FROM customer ORDER BY c_acctbal, c_custkey LIMIT 40")
+@query("order_limit", "SELECT c_custkey, c_acctbal, CAST(row_number() OVER (dearest() BY c_acctbal, c_custkey) - 1 AS INTEGER) AS rank FROM customer ORDER BY c_acctbal, c_custkey LIMIT 40")
 def _(s, d):
     z = w.weighted(table(s, d, "customer").select("c_custkey", "c_acctbal"))
     ranked = r.top_k(z, [F.asc("c_acctbal"), F.asc("c_custkey")], 40, rank=True)
@@ -462,7 +463,7 @@ def _(s, d):
 
 @query("inc_topk", by_snapshots("o_orderkey, o_totalprice", f"SELECT o_orderkey, o_totalprice, 1 AS w FROM {O} WHERE w > 0 AND t <= x.t ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5"))
 def _(s, d):
-    return out(Circuit.top_k(ORDER, 15, 5).execute(Stream(log(s, d, "o_orderkey", "o_totalprice"))).log)
+    return out(Circuit.top_k(dearest(), 15, 5).execute(Stream(log(s, d, "o_orderkey", "o_totalprice"))).log)
 
 
 @query("plan_delta", by_snapshots("c_mktsegment, n", f"SELECT c_mktsegment, CAST(SUM(o.w * c.w) AS BIGINT) AS n, 1 AS w FROM {O} o JOIN {C} c ON o_custkey = c_custkey WHERE o.t <= x.t AND c.t <= x.t AND price > 100000 GROUP BY 1"))
@@ -488,7 +489,7 @@ def _(s, d):
 @query("stateful_topk", f"SELECT o_orderkey, o_totalprice, CAST(SUM(w) AS BIGINT) AS w FROM ((SELECT o_orderkey, o_totalprice, 1 AS w FROM {O} WHERE w > 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) UNION ALL (SELECT o_orderkey, o_totalprice, -1 AS w FROM {O} WHERE w > 0 AND t < 5 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30)) GROUP BY 1, 2 HAVING SUM(w) <> 0")
 def _(s, d):
     o = orders(s, d, "o_orderkey", "o_totalprice")
-    top = StatefulTopK(s, ORDER, 30)
+    top = StatefulTopK(s, dearest(), 30)
     top.initialize(o.where("o_orderkey % 10 < 5"))
     return out(top.increment(o.where("o_orderkey % 10 >= 5")))
 
