@@ -26,7 +26,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, size: Column) -> Column:
     """0.1 to 1: falls with the share of symbols among the characters and for texts under 20 words."""
-    clean = F.length(F.translate(text, "#*$%&|<>", "")) / F.length(text)
+    clean = F.length(F.translate(text, "#*$%&|<>", "")) / F.greatest(F.lit(1), F.length(text))
     weight = F.greatest(F.lit(0.0), 2 * clean - 1) * F.least(F.lit(1.0), size / 20)
     return F.greatest(F.lit(0.1), F.coalesce(weight, F.lit(0.1)))
 
@@ -97,7 +97,7 @@ def plan_mix(
     rows = keyed(docs, id_col, text_col, source_col, seed, quality)
     rows = saved(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size") + 1e-9))
+    epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size")) + 1e-9))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, epochs).otherwise(0).cast("int"))
     plan = saved(plan.withColumn("left0", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))))
     buckets = math.isqrt(rows.count()) + 1

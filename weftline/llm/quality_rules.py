@@ -148,7 +148,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for c in ("classes", "words"):
         x = x.withColumn(f"d_{c}", F.when(long_enough, jensen_shannon(F.col(f"p_{c}"), F.col(f"ref_{c}"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = (F.col("d_classes") > MAX_CLASS_DISTANCE + NOISE / F.sqrt("n_words")) | (F.col("d_words") > MAX_WORD_DISTANCE)
+    far = (F.col("d_classes") > MAX_CLASS_DISTANCE + NOISE / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))) | (F.col("d_words") > MAX_WORD_DISTANCE)
     return x.select(
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"), F.col("d_classes").alias("class_distance"), F.col("d_words").alias("word_distance"),

@@ -223,7 +223,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     to broadcast whatever the size of the tables. Ids with contradicting labels are left out."""
     own = labels.where(~held_out(id_col)).groupBy(id_col).agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2 AND y IN (0, 1)")
     parts = [own.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("__id"), "y") for k in (0, 1)]
-    rows = docs.join(F.broadcast(parts[0].union(parts[1])), docs[id_col] == F.col("__id")).select("__id", "y", F.col(text_col).alias("t")).toArrow()
+    narrow = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("t"))
+    rows = narrow.join(F.broadcast(parts[0].union(parts[1])), F.col("__doc") == F.col("__id")).select("__id", "y", "t").toArrow()
     order = np.argsort(rows.column("__id").to_numpy(), kind="stable")
     texts = as_bytes(rows.column("t").combine_chunks())
     return [texts[k] for k in order], rows.column("y").to_numpy()[order].astype(float)
