@@ -52,6 +52,16 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+_OWNER: list = []
+
+
+def own_cache(clear) -> None:
+    """Python workers outlive a stage: the operator that now fills its cache has the one before it emptied."""
+    if _OWNER and _OWNER[0] is not clear:
+        _OWNER[0]()
+    _OWNER[:] = [clear]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, null as empty. ``bytes.split()`` cuts at exactly the white space ``[\\x20\\x09-\\x0D]``."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

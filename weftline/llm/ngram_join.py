@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, small, table
+from .common import as_bytes, own_cache, saved, small, table
 from .graph import Sets, components
 
 WIDTH, PERCENT = 5, 75
 #: Bytes of input for a bucket of shingles, members of a block, queries to a block at once, min-hashes for grouping.
 BUCKET_BYTES, BLOCK, QUERIES, HASHES = 8 << 20, 512, 2000, 4
-_CACHE = 500_000
+_CACHE = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +47,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,6 +89,7 @@ def _deal(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "ids", "counts", "tokens"])
 
     def run(batches):
+        own_cache(_forget)
         ids, sets, n = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -93,7 +98,7 @@ def _deal(buckets: int):
                     ids.append(i)
                     sets.append(s)
                     n += len(s)
-                if n > 3_000_000:
+                if n > 1_500_000:
                     yield flush(np.array(ids), sets)
                     ids, sets, n = [], [], 0
         if n:

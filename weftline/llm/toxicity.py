@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent
-from .common import as_bytes, held_out, table
+from .common import as_bytes, held_out, own_cache, table
 
 WINDOW, STRIDE, HIDDEN, INPUTS = 32, 16, 8, 4
 #: At most so many labelled documents of each label are learned from; they are drawn by a hash of the id.
 SAMPLE = 3000
 THRESHOLD = 0.7
 _BITS = 18
-_CACHE = 600_000
+_CACHE = 400_000
 
 
 def _grams(word: bytes) -> list[int]:
@@ -241,14 +241,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     kinds all scores are equal; repeated rows get equal scores; other columns are carried along, whatever their names.
     """
     a, b = model.scale
+    name = zlib.crc32(b"".join(v.tobytes() for v in (*model.net.values(), model.words, model.grams)))
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        vectors = _STATE.setdefault("v", _Vectors(model)) if _STATE.get("m") is model else None
-        if vectors is None:
-            _STATE.clear()
-            _STATE.update(m=model, v=_Vectors(model))
-            vectors = _STATE["v"]
+        own_cache(_forget)
+        if _STATE.get("name") != name:
+            _STATE.update(name=name, vectors=_Vectors(model))
+        vectors = _STATE["vectors"]
         out = []
         values = [(t or "").encode() for t in texts]
         for k in range(0, len(values), 256):
@@ -271,4 +271,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+#: The model and vectors of this worker process.
 _STATE: dict = {}
+
+
+def _forget() -> None:
+    _STATE.clear()
