@@ -209,6 +209,23 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dense_clumps_that_link_are_one_component(spark):
+    # Two clumps of 60, cosines about 0.999 inside and 0.96 across: no list of nearest neighbours leads out of a clump.
+    rng = np.random.default_rng(8)
+    centres = np.zeros((2, 32))
+    centres[0, 0], centres[1, :2] = 1, (0.9605, np.sqrt(1 - 0.9605**2))
+    x = np.concatenate([c + rng.normal(size=(60, 32)) * 0.004 for c in centres])
+    x = np.concatenate([x, rng.normal(size=(80, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    data = [(k + 3, [float(v) for v in row]) for k, row in enumerate(x)]
+    want = _brute_links([(i, k) for k, (i, _) in enumerate(data)], lambda a, b: cos[a, b] >= 0.95)
+    assert want[data[60][0]] == 3
+    got = {r.id: r for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    for k, (i, _) in enumerate(data):
+        assert (got[i].n_links, got[i].component_id) == ((cos[k] >= 0.95).sum() - 1, want[i])
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -1,13 +1,12 @@
-"""Near-duplicate embeddings through NN-descent.
-
-Vectors that are equal in every component form one class, which its smallest id stands for. Classes start with neighbours
-from random-hyperplane cells of bounded size. Each round gathers around every node its neighbours and the nearest of those
-that name it, compares them with each other (neighbours of neighbours), and keeps for each node the nearest; a node whose
-whole list still reaches the threshold is saturated and goes on with a list twice as long. When lists settle, edges at or
-above the threshold join nodes to components. A list can hold only so much, so at last the list of every linked node is
-enlarged to all of its component, which is compared with itself in blocks, in double precision: numbers of links are then
-exact for the components found. Stated queries compared with all vectors audit what is found; rounds are added while too
-many of their links lead out of a component.
+"""Near-duplicate embeddings through an exact comparison in blocks.
+
+Vectors that are equal in every component form one class, which its smallest id stands for. Every class is compared with
+every other in double precision: parts of bounded size are sent to the tasks one after the other, and each task compares
+the rows it reads with the part, block by block. A pair of blocks may hold as many links as it has pairs, so a task tells
+only each vector's number of links and, instead of the links, which vectors of the two blocks they join: one edge for each
+vector to one that stands for its group. Numbers of links and components are therefore exact whatever the data, nothing is
+sampled, and what is written grows with the linked vectors and not with their links. The comparisons grow with the square
+of the number of classes.
 """
 
 from __future__ import annotations
@@ -16,18 +15,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, table
 from .graph import components
 
 THRESHOLD = 0.95
-#: Length of neighbour lists at first and at most, hyperplane tables, vectors that a cell and a block should have.
-K, LONGEST, TABLES, CELL, BLOCK = 8, 32, 6, 200, 1024
-#: Rounds at least and at most, audited recall to reach, audited queries (as many again among linked vectors).
-LEAST_ROUNDS, ROUNDS, RECALL, AUDIT = 2, 6, 0.999, 200
-LINK = "a long, b long, cosine double"
+#: Rows and columns of a block of comparisons, vectors that a partition should have, numbers in a part sent to all tasks.
+ROWS, BLOCK, PARTITION, PART = 512, 4096, 2048, 1 << 22
+JOINED = "id long, other long, n long"
 
 
 def usable(vec_col: str = "embedding"):
@@ -45,177 +42,69 @@ def _matrix(column) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True)) if flat.size else flat
 
 
-def _cells(seed: int, planes: int):
-    """Vector -> its cell and its place along a further direction, in each table. The length is part of the cell."""
+def _groups(i: np.ndarray, j: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For links (row i, column j), sorted by row: the linked rows and, for them and for each column, the first column of the group that links join."""
+    starts = np.flatnonzero(np.r_[True, np.diff(i) > 0])
+    of_row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(i)]))
+    label = np.arange(columns)
+    while True:
+        rows = np.minimum.reduceat(label[j], starts)
+        new = label.copy()
+        np.minimum.at(new, j, rows[of_row])
+        if (new == label).all():
+            return i[starts], rows, label
+        label = new
+
+
+def _compare(part: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float):
+    """Rows (id, embedding) against a part of ids, unit vectors and multiplicities by length, as :data:`JOINED`."""
 
     def run(batches):
-        drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = np.diff(batch.column(1).offsets.to_numpy())
-            for d in np.unique(dims):
-                part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                if d not in drawn:
-                    drawn[d] = np.random.default_rng(seed + int(d)).normal(size=(int(d), TABLES, planes + 1))
-                proj = np.einsum("nd,dtp->ntp", _matrix(part.column(1)), drawn[d])
-                code = (proj[:, :, :planes] > 0) @ (1 << np.arange(planes)) + (int(d) << planes)
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, t, np.int32)), pa.array(code[:, t].astype(np.int64)), pa.array(proj[:, t, planes])], names=["id", "embedding", "t", "cell", "place"])
+            for d in set(dims.tolist()) & set(part):
+                mine = batch.take(pa.array(np.flatnonzero(dims == d)))
+                own, x, (ids, y, m) = mine.column(0).to_numpy(), _matrix(mine.column(1)), part[d]
+                for r in range(0, len(own), ROWS):
+                    a = own[r : r + ROWS]
+                    for c in range(0, len(ids), BLOCK):
+                        b = ids[c : c + BLOCK]
+                        i, j = np.nonzero(x[r : r + ROWS] @ y[c : c + BLOCK].T >= threshold)
+                        apart = a[i] != b[j]
+                        i, j = i[apart], j[apart]
+                        if len(i):
+                            rows, first, label = _groups(i, j, len(b))
+                            n, cols = np.bincount(i, m[c : c + BLOCK][j], len(a)).astype(np.int64)[rows], np.unique(j)
+                            told = (np.r_[a[rows], b[cols]], np.r_[b[first], b[label[cols]]], np.r_[n, np.zeros(len(cols), np.int64)])
+                            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in told], names=["id", "other", "n"])
 
     return run
 
 
-def _best_pairs(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its nearest others, ``keep`` at most, as (a, b, cosine)."""
-    cos = x @ x.T
-    np.fill_diagonal(cos, -2)
-    k = min(keep, len(ids) - 1)
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(ids)), k)
-    return ids[rows], ids[near.ravel()], cos[rows, near.ravel()]
-
-
-def _links(a, b, c) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
-
-
-def _in_cell(rows):
-    """The nearest of each vector among those of its cell, in blocks that bound the product."""
-    ids, x = rows.column("id").to_numpy(), _matrix(rows.column("embedding"))
-    order = np.lexsort((ids, rows.column("place").to_numpy()))
-    parts = [_best_pairs(ids[at], x[at], K) for at in np.array_split(order, -(-len(order) // (4 * CELL))) if len(at) > 1]
-    return _links(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else _links([], [], [])
-
-
-def _around_hub(rows):
-    """All hubs of a bucket: the vectors around each are compared with each other; what beats a list is told."""
-    hub, ids, last, x = rows.column("hub").to_numpy(), rows.column("id").to_numpy(), rows.column("last").to_numpy(), _matrix_rows(rows.column("embedding"))
-    order = np.lexsort((ids, hub))
-    cuts = np.flatnonzero(np.diff(hub[order])) + 1
-    out = []
-    for at in np.split(order, cuts):
-        for d in {len(x[k]) for k in at}:
-            same = np.array([k for k in at if len(x[k]) == d])
-            if len(same) > 1:
-                m = np.stack([x[k] for k in same])
-                cos = m @ m.T
-                i, j = np.nonzero((cos > last[same][:, None]) & ~np.eye(len(same), dtype=bool))
-                out.append((ids[same][i], ids[same][j], cos[i, j]))
-    return _links(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else _links([], [], [])
-
-
-def _matrix_rows(column) -> list[np.ndarray] | np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    dims = np.diff(column.offsets.to_numpy())
-    if len(set(dims.tolist())) == 1:
-        return _matrix(column)
-    return [_matrix(column.slice(k, 1))[0] for k in range(len(column))]
+def _part(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    rows = rows.combine_chunks()
+    dims = np.diff(rows.column("embedding").combine_chunks().offsets.to_numpy()) if len(rows) else np.zeros(0, int)
+    out = {}
+    for d in np.unique(dims).tolist():
+        same = rows.take(pa.array(np.flatnonzero(dims == d)))
+        out[d] = (same.column("id").to_numpy(), _matrix(same.column("embedding")), same.column("m").to_numpy().astype(float))
+    return out
 
 
-def _nearest(edges: DataFrame, lengths: DataFrame | None) -> DataFrame:
-    """Each node's list: its nearest neighbours, as many as the node's own length (K unless ``lengths`` says more)."""
-    edges = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
-    if lengths is None:
-        return ranked.where(F.col("r") <= K)
-    return ranked.join(lengths.select(F.col("id").alias("a"), "k"), "a", "left").where(F.col("r") <= F.coalesce("k", F.lit(K))).drop("k")
+def links(classes: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, n) and (node, component) of the linked ones among distinct vectors (id, embedding, m); the table should be saved.
 
-
-def _descend(lists: DataFrame, vectors: DataFrame, buckets: int) -> DataFrame:
-    """One round: pairs of neighbours of a common node that beat the list of one of them.
-
-    Of those that name a node it takes the nearest ones only, so that work at a node is bounded; what this leaves out is
-    reached over other nodes.
+    ``n`` counts the vectors of other classes that a class links with, each class ``m`` times.
     """
-    named = lists.select(F.col("b").alias("hub"), F.col("a").alias("id"), "cosine")
-    named = named.withColumn("r", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("cosine"), "id"))).where(F.col("r") <= 2 * K)
-    around = named.select("hub", "id").union(lists.select(F.col("a").alias("hub"), F.col("b").alias("id"))).distinct()
-    last = lists.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= K, F.min("cosine")).otherwise(-1.0).alias("last"))
-    seats = around.join(vectors, "id").join(last, "id", "left").select("hub", "id", F.coalesce("last", F.lit(-1.0)).alias("last"), "embedding")
-    bucket = F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")
-    return seats.groupBy(bucket).applyInArrow(_around_hub, LINK)
-
-
-def _against_all(vectors: DataFrame, ids: list[int], threshold: float) -> DataFrame:
-    """True links of a stated, bounded set of queries, each compared with every vector in blocks."""
-    rows = vectors.where(F.col("id").isin(ids)).collect() if ids else []
-    queries: dict[int, list] = {}
-    for r in rows:
-        queries.setdefault(len(r.embedding), []).append((r.id, r.embedding))
-    stacked = {d: (np.array([q for q, _ in v]), _matrix(pa.array([e for _, e in v], pa.list_(pa.float64())))) for d, v in queries.items()}
-
-    def run(batches):
-        for batch in batches:
-            dims = np.diff(batch.column(1).offsets.to_numpy())
-            for d in set(dims.tolist()) & set(stacked):
-                part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                own, q = part.column(0).to_numpy(), stacked[d]
-                hit = _matrix(part.column(1)) @ q[1].T
-                i, j = np.nonzero((hit >= threshold) & (own[:, None] != q[0][None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(q[0][j]), pa.array(own[i]), pa.array(hit[i, j])], names=["a", "b", "cosine"])
-
-    return vectors.mapInArrow(run, LINK)
-
-
-def neighbour_graph(vectors: DataFrame, *, threshold: float = THRESHOLD, seed: int = 3) -> tuple[DataFrame, float]:
-    """(components of linked nodes, audited recall) of distinct vectors (id, embedding); the table should be saved."""
-    n = vectors.count()
-    planes = max(1, math.ceil(math.log2(max(2, n) / CELL)))
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    cells = vectors.mapInArrow(_cells(seed, planes), f"id long, embedding {kind}, t int, cell long, place double")
-    cells = saved(cells)
-    # A cell of very many vectors is cut along its direction into parts of bounded expectation.
-    spread = cells.groupBy("t", "cell").agg(F.count("*").alias("m"), F.percentile_approx("place", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1000).alias("q"))
-    part = F.when(F.col("m") > 8 * CELL, F.aggregate("q", F.lit(0), lambda a, x: a + (F.col("place") > x).cast("int"))).otherwise(0)
-    small_parts = cells.join(spread, ["t", "cell"]).withColumn("part", part)
-    known = saved(small_parts.groupBy("t", "cell", "part").applyInArrow(_in_cell, LINK))
-    ids = [r.id for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id")).limit(AUDIT).select("id").collect()]
-    linked = known.where(F.col("cosine") >= threshold).select(F.col("a").alias("id")).distinct()
-    ids += [r.id for r in linked.orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(AUDIT).collect()]
-    truth = saved(_against_all(vectors, sorted(set(ids)), threshold))
-    truths, lengths, recall, comps = truth.count(), None, 1.0, None
-    buckets = max(8, n // 500)
-    for turn in range(ROUNDS):
-        lists = saved(_nearest(known, lengths))
-        fresh = saved(_descend(lists, vectors, buckets))
-        both = lists.select("a", "b", "cosine").unionByName(fresh).unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        full = lists.groupBy("a").agg(F.count("*").alias("held"), F.min("cosine").alias("last")).where((F.col("last") >= threshold) & (F.col("held") >= K))
-        lengths = saved(full.select(F.col("a").alias("id"), F.least(F.lit(LONGEST), 2 * F.col("held")).alias("k")))
-        known = saved(_nearest(both, lengths).select("a", "b", "cosine"))
-        if turn + 1 < LEAST_ROUNDS:
-            continue
-        comps = components(known.where(F.col("cosine") >= threshold).select("a", "b"))
-        left, right = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        found = truth.join(left, "a").join(right, "b").where("ca = cb").count()
-        recall = found / truths if truths else 1.0
-        if recall >= RECALL:
-            break
-    return comps, recall
-
-
-def _count_links(threshold: float):
-    def run(key, left, right):
-        """Links from each vector of one block to those of another block of its component."""
-        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-        if not len(a) or not len(b):
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        x, y, w = _matrix(left.column("embedding")), _matrix(right.column("embedding")), right.column("m").to_numpy().astype(float)
-        n = np.concatenate([((x[k : k + 512] @ y.T >= threshold) & (a[k : k + 512, None] != b[None, :])) @ w for k in range(0, len(a), 512)])
-        return pa.table({"id": a, "n": n.astype(np.int64)})
-
-    return run
-
-
-def _numbers_of_links(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): for each linked class the vectors of other classes that it links with, by blocks of its component."""
-    size = comps.groupBy("component").agg(F.count("*").alias("c"))
-    seats = comps.join(size, "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    seats = seats.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes, "id")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    seats = saved(seats)
-    left = seats.select(F.col("component").alias("component"), F.col("block").alias("i"), every.alias("j"), F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("m").alias("m"))
-    right = seats.select(F.col("component").alias("component"), every.alias("i"), F.col("block").alias("j"), F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("m").alias("m"))
-    pairs = left.groupBy("component", "i", "j").cogroup(right.groupBy("component", "i", "j"))
-    return pairs.applyInArrow(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    n, numbers = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    rows = saved(classes.select("id", "embedding").repartition(max(1, math.ceil(n / PARTITION)), "id"))
+    parts = max(1, math.ceil(numbers / PART))
+    dealt, joined = F.pmod(F.xxhash64("id"), F.lit(parts)), None
+    for k in range(parts):
+        part = _part(classes.where(dealt == k).select("id", "embedding", "m").toArrow())
+        told = saved(rows.mapInArrow(_compare(part, threshold), JOINED))
+        joined = told if joined is None else joined.unionByName(told)
+    return joined.groupBy("id").agg(F.sum("n").alias("n")), components(joined.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -232,8 +121,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     rows = saved(rows.withColumn("embedding", F.when(F.col("ok"), zero)))
     good = rows.where("ok")
     classes = saved(good.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    comps, _ = neighbour_graph(classes.select("id", "embedding"), threshold=threshold)
-    numbers = _numbers_of_links(classes, comps, threshold)
+    numbers, comps = links(classes, threshold=threshold)
     named = classes.join(numbers.select(F.col("id").alias("a"), "n"), F.col("id") == F.col("a"), "left").join(comps, F.col("id") == F.col("node"), "left")
     named = saved(named.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     linked = good.join(named, F.col("embedding") == F.col("e")).select("id", "n_links", "component_id")
