@@ -226,6 +226,21 @@ def test_dense_clumps_that_link_are_one_component(spark):
         assert (got[i].n_links, got[i].component_id) == ((cos[k] >= 0.95).sum() - 1, want[i])
 
 
+def test_chained_clumps_link_over_all_parts(spark, monkeypatch):
+    # Six clumps of 40, each linked with the next only, dealt over many parts and blocks: nothing stops before the last link.
+    for name, value in (("ROWS", 16), ("BLOCK", 32), ("PARTITION", 50), ("PART", 1000)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rng, angle = np.random.default_rng(12), np.arccos(0.9605)
+    x = np.concatenate([np.r_[np.cos(k * angle), np.sin(k * angle), np.zeros(22)] + rng.normal(size=(40, 24)) * 0.004 for k in range(6)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, order = unit @ unit.T, rng.permutation(len(x))
+    data = [(int(order[k]), [float(v) for v in row]) for k, row in enumerate(x)] + [(1000, [1.0, 0.0]), (1001, [2.0, 0.1])]
+    got = {r.id: r for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    for k in range(len(x)):
+        assert (got[order[k]].n_links, got[order[k]].component_id) == ((cos[k] >= 0.95).sum() - 1, 0)
+    assert [(got[i].n_links, got[i].component_id) for i in (1000, 1001)] == [(1, 1000)] * 2
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
