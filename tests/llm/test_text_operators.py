@@ -184,6 +184,17 @@ def test_main_text_cases(spark):
     assert out == ['Head&line\nOne two three.\nSecond "paragraph" is here, with words and more words.'] * 2 + ["", "", "plain text"]
 
 
+def test_silent_elements_do_not_take_the_page():
+    body = "<article><h1>Head line</h1><p>First paragraph, with words and more words.</p>{}<p>Second paragraph is here, with yet more words.</p></article>"
+    whole = "Head line\nFirst paragraph, with words and more words.\nSecond paragraph is here, with yet more words."
+    pages = ["<html><head><title>t</title><meta charset=x><style>p {}</style><body>" + body.format(""), "<head><title>t</title>" + body.format("")]
+    silent = ('<svg width="1"/>', "<math/>", "<svg/><svg><text>x</text></svg>", "<iframe/>", '<iframe src="a"/><iframe>x</iframe>', "<object>", "<button>", "<svg>", "<SVG><text>x</text></Svg >", "<script>x</script>", "<select><option>x</select>")
+    pages += ["<html><head><title>t</title></head><body>" + body.format(x) for x in silent]
+    for page, text in zip(pages, html_text.main_texts(pages, html_text.model()), strict=True):
+        assert text == whole, page
+    assert html_text.Page("<p>a</p><script>b <p>c</p>").text == html_text.Page("<p>a</p><textarea>b").text == ["a"]
+
+
 def test_decoding_never_contradicts():
     page = html_text.Page("<div><div><p>a</p></div></div><div><p>b</p></div>")
     for seed in range(50):

@@ -28,6 +28,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+")
 # Elements by what a parser does with them.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hr".split())
 SILENT = frozenset("script style head title template noscript iframe svg math canvas object select button textarea audio video map".split())
+#: Of these the content is plain characters, which run to the end tag or to the end of the page.
+RAW = frozenset("script style textarea title".split())
+#: Elements of other languages, in which ``/>`` ends an element.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot"}
 SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -49,6 +53,35 @@ TAGS = {t: k for k, t in enumerate("root body main article section div p h ul ol
 DOCUMENT_TAG = TAGS["root"]
 
 
+@lru_cache(len(SILENT))
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
+@lru_cache(len(SILENT))
+def _start_tag(name: str) -> re.Pattern:
+    return re.compile(rf"<{name}(?=[\s/>])", re.I)
+
+
+def _after_silent(markup: str, name: str, attributes: str, at: int, endless: set[str]) -> int:
+    """Where a page goes on after the start tag of a silent element that ends at ``at``.
+
+    A head may leave out its end tag: its own tags are read one by one, silent ones among them, and anything else ends it.
+    Elements without an end tag lose their tag only, except for those whose content is plain characters; so do elements
+    that ``/>`` ends. ``endless`` holds the names that have no end tag in the rest of the page.
+    """
+    closed = attributes.rstrip().endswith("/")
+    if name == "head" or closed and name in FOREIGN:
+        return at
+    end = None if name in endless else _end_tag(name).search(markup, at)
+    if end is None:
+        endless.add(name)
+        return len(markup) if name in RAW else at
+    if closed and name not in RAW and _start_tag(name).search(markup, at, end.start()):
+        return at  # the end tag is that of the next element of this name
+    return end.end()
+
+
 class Page:
     """Nodes in page order (a parent before its children) and text blocks with the node that holds them."""
 
@@ -59,6 +92,7 @@ class Page:
         stack: list[tuple[str, int]] = [("root", 0)]
         pieces: list[str] = []
         linked, at, anchor = 0, 0, 0
+        endless: set[str] = set()
 
         def flush():
             nonlocal linked
@@ -87,8 +121,7 @@ class Page:
             name = name.lower()
             if not m[1]:
                 if name in SILENT:
-                    end = re.compile(rf"</{name}\s*>", re.I).search(markup, at)
-                    at = end.end() if end else len(markup)
+                    at = _after_silent(markup, name, m[3], at, endless)
                     continue
                 if name == "br":
                     pieces.append(" ")
