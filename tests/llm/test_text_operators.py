@@ -152,6 +152,18 @@ def test_pii_adds_and_redacts(spark):
     assert pii.redact("abcdef", [(0, 1, 3), (1, 2, 4)]) == "a<EMAIL>ef"
 
 
+def test_spelled_addresses_of_all_forms():
+    fitted = pii.model()
+    forms = ["jane(AT)example(DOT)com", "jane [at] example [DOT] com", "jane{at}example{dot}com", "jane [at] example.com", "jane(at)example.com", "jane at example dot com"]
+    texts = [f"please write {x} about rooms" for x in forms] + ["we met at noon.then we left"]
+    found = [[t[a:b] for _, a, b in added] for t, (_, added) in zip(texts, pii.find(texts, fitted), strict=True)]
+    assert found == [[x] for x in forms] + [[]]
+    rng, bits = random.Random(6), ["a", "b-1", "_x", ".", " ", " at ", "(at)", " [AT] ", "{at", " at", "dot", " dot ", "(DOT)", "é", "at", "]"]
+    for _ in range(20000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert pii.addresses(text) == [m.span() for m in pii.GENERATORS[0][1].finditer(text)], text
+
+
 def test_boosting_fits_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 4))

@@ -37,6 +37,9 @@ GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")),
     ("number", re.compile(r"(?<![0-9])\(?[0-9][0-9 ().:/-]{5,}[0-9]")),
 )
+#: Where a spelled-out "at" of the address generator begins, and the characters before it that belong to the address.
+_SPELLED = re.compile(r"(?= ?[(\[{] ?(?:at|AT) ?[)\]}]| (?:at|AT) )")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CUES = {
     "secret": "token key secret password passwd pwd api apikey auth bearer credential access",
     "phone": "phone tel telephone call mobile fax cell telefon tél móvil",
@@ -72,12 +75,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """The spans that the address generator's ``finditer`` gives, tried only where a spelled "at" follows."""
+    out, done = [], 0
+    for m in _SPELLED.finditer(text) if "at" in text or "AT" in text else ():
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = GENERATORS[0][1].match(text, start) if done <= start < m.start() else None
+        if found:
+            out.append(found.span())
+            done = found.end()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of all generators; they may overlap each other and base spans."""
-    out = []
-    spelled = (" dot " in text or "dot)" in text or "dot]" in text or " DOT " in text)
-    if spelled:
-        out += [(4, *m.span()) for m in GENERATORS[0][1].finditer(text)]
+    out = [(4, a, b) for a, b in addresses(text)]
     if _DIGIT.search(text):
         for kind in (5, 6):
             out += [(kind, *m.span()) for m in GENERATORS[kind - 4][1].finditer(text)]
@@ -101,7 +115,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     cases = any(c.islower() for c in s) + 2 * any(c.isupper() for c in s)
     return [
         kind, n, len(digits), len(digits) / n, letters / n, hexa / n, entropy, len(groups), max(groups, default=0), min(groups, default=0),
-        s.count("-"), s.count(" "), s.count("."), s.count("/"), s.count(":"), s.count("("), "@" in s, bool(re.search(r"\bat\b|\bAT\b", s)), len(re.findall(r"dot|DOT", s)),
+        s.count("-"), s.count(" "), s.count("."), s.count("/"), s.count(":"), s.count("("), s.count("[") + s.count("{"), "@" in s, bool(re.search(r"\bat\b|\bAT\b", s)), len(re.findall(r"dot|DOT", s)),
         luhn("".join(digits)) if digits else 0, cases, before[-1:] in ('"', "'"), after[:1] in ('"', "'"), bool(re.search(r"[=:]\s*[\"']?$", before)),
         before[-1:].isalnum(), after[:1].isalnum(), *cues,
     ]
@@ -119,7 +133,8 @@ def _sentences(rng: random.Random) -> tuple[str, int, int, int]:
         (f'{cue("secret")}{pick((" = ", "=", ": ", ":"))}"', pick((hexes, mixed, hexes.upper())), '"', 1),
         (f"{w()} {cue('secret')} {pick(('is ', '= ', ''))}", pick((hexes, mixed)), " ", 1),
         (f'{w()} = "', pick((hexes, mixed)), '"', 1),
-        ("", f"{w()}{pick((' at ', ' [at] ', ' (at) ', ' AT '))}{w()}{pick((' dot ', ' [dot] ', ' (dot) '))}{pick(('com', 'org', 'net'))}", "", 1),
+        ("", f"{w()}{pick((' at ', ' [at] ', ' (at) ', ' AT ', ' {at} ', '(at)', '[at]', '(AT)', '[AT]'))}{w()}{pick((' dot ', ' [dot] ', ' (dot) ', ' DOT ', ' {dot} ', '(dot)', '[dot]', '{dot}', '(DOT)', '[DOT]'))}{pick(('com', 'org', 'net'))}", "", 1),
+        ("", f"{w()}{pick((' [at] ', ' (at) ', ' {at} ', '(at)', '[at]', '{at}', '(AT)', '[AT]'))}{w()}.{pick(('com', 'org', 'net'))}", "", 1),
         (f"{cue('phone')} ", pick((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(6)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}")), "", 1),
         (f"{cue('identity')} ", pick((f"{d(3)}-{d(2)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", d(9))), "", 1),
         (f"{w()} ", pick((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}")), "", 1),
