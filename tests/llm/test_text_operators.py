@@ -97,6 +97,16 @@ def test_divergence_rejects_symbols_and_keeps_prose(spark):
     assert all(kept[k] for k in range(40)) and not kept[100] and not kept[101]
 
 
+def test_few_long_words_are_judged_by_their_characters(spark):
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice(quality_rules.COMMON["en"].split() + ["stone", "river", "walking", "Tower"]) for _ in range(n))
+    blob = " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60)) for _ in range(12))
+    texts = {k: prose(200) for k in range(40)} | {100: blob, 101: prose(30), 102: " ".join("stonewalking" + c for c in "abcdefghijklmnopqrstuvwxyz")}
+    out = {r.id: r for r in quality_rules.judge(spark.createDataFrame([(k, t, "en", "s", 0, "e", "s", 0, 0) for k, t in texts.items()], DOCS)).collect()}
+    assert not out[100].base_failed and not out[100].kept and out[100].word_distance is None
+    assert out[101].class_distance is None and all(out[k].kept for k in texts if k != 100)
+
+
 def test_site_quality_shrinks(spark):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["stone", "river", "the", "and", "walking"]) for _ in range(80))

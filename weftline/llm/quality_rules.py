@@ -144,9 +144,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     refs = _references(rows, "classes").join(_references(rows, "words").withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2")))
     refs = saved(refs.select(F.col("lang").alias("l_"), "ref_classes", "ref_words"))
     x = rows.join(small(refs), F.col("lang").eqNullSafe(F.col("l_")), "left")
-    long_enough = F.col("n_words") >= MIN_WORDS
+    long_enough = {"classes": F.col("n_chars") >= 6 * MIN_WORDS, "words": F.col("n_words") >= MIN_WORDS}
     for c in ("classes", "words"):
-        x = x.withColumn(f"d_{c}", F.when(long_enough, jensen_shannon(F.col(f"p_{c}"), F.col(f"ref_{c}"))))
+        x = x.withColumn(f"d_{c}", F.when(long_enough[c] | (F.col("n_words") >= MIN_WORDS), jensen_shannon(F.col(f"p_{c}"), F.col(f"ref_{c}"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.col("d_classes") > MAX_CLASS_DISTANCE + NOISE / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))) | (F.col("d_words") > MAX_WORD_DISTANCE)
     return x.select(
