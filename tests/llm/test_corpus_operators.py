@@ -29,6 +29,19 @@ def test_ids_equal_the_library(name):
         assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_are_one_id_as_in_the_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    e, plain, rng = Encoder(public.path(name)), Tokenizer.from_file(public.path(name)), random.Random(5)
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert special and all(len(e.ids(t)) == 1 for t in special)
+    bits = [*special, *map(str.upper, special), "<|", "|>", "a", " ", "don't", "\n", "é", "x,", "B."]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))
+        assert e.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_targets_fill_up(spark):
     sizes = {"a": 10, "b": 500, "c": 300, None: 90, "d": 0}
     got = {r.source: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3).collect()}

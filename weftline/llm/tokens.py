@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before they merge bytes, and no merge crosses such a split. A text is therefore cut where a
 split is certain, each distinct cut is encoded once by the library, and its ids are kept in a bounded cache. Texts in
-which white space makes a split depend on its neighbours are handed to the library whole.
+which white space makes a split depend on its neighbours, and texts that contain a special string, are handed to the library
+whole.
 """
 
 from __future__ import annotations
@@ -57,22 +58,26 @@ class _Cut(dict):
 
 
 class Encoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special strings as ordinary text."""
+    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, in which a special string is its one id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.words = self.tokenizer.normalizer is not None
         self.cuts = _Cut(self.tokenizer, self.words)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
+        self.marks = {c for t in special for c in (t[0].lower(), t[0].upper())}
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian uint16."""
         if not text:
             return b""
+        if any(c in text for c in self.marks) and self.special.search(text):
+            return self._whole(text)
         plain = text.isascii()
         odd = any(c in text for c in _ODD_ASCII) or not plain and _ODD_SPACE.search(text)
         if self.words:
