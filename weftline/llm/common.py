@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the cluster names none (single-process tests) is a folder of our own set.
+    Only in one process, where nothing is to be shared, a folder of our own is set if none is named.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         root = tempfile.mkdtemp(prefix="weftline-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
@@ -39,7 +44,18 @@ def saved(df: DataFrame, *, kind: str = "parquet") -> DataFrame:
     """
     spark, schema, path = df.sparkSession, df.schema, shared_folder(df.sparkSession)
     df.write.format(kind).option("compression", "zstd").save(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).format(kind).load(path)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).format(kind).load(path)
+    out._saved_in = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of saved tables that nothing will read again: all that was made from them is saved itself."""
+    for df in frames:
+        if path := df.__dict__.pop("_saved_in", None):
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -62,6 +78,50 @@ def own_cache(clear) -> None:
     _OWNER[:] = [clear]
 
 
+def no_cache() -> None:
+    """An operator without a cache begins: that of the one before it goes."""
+    own_cache(_nothing)
+
+
+def _nothing() -> None:
+    pass
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system, as workers wait for their next task with all they hold."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def tidy(run):
+    """A function from batches to batches after which :func:`trim` is called."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, null as empty. ``bytes.split()`` cuts at exactly the white space ``[\\x20\\x09-\\x0D]``."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts of a column as bytes, some at a time: together ``limit`` bytes or one longer text."""
+    held, size = [], 0
+    for k in range(0, len(column), 64):
+        for text in as_bytes(column.slice(k, 64)):
+            if held and size + len(text) > limit:
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+    if held:
+        yield held

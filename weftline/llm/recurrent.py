@@ -78,7 +78,7 @@ def _unscan(dh: np.ndarray, kept: list, u: np.ndarray, mask: np.ndarray, size: i
 
 
 def gradients(p: Params, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, Params]:
-    """Mean weighted log loss over sequences ``x`` (time, rows, inputs), and its gradients."""
+    """Mean weighted log loss over sequences ``x`` (time, rows, inputs), and its gradients, of the inputs too (``x``)."""
     cache: dict = {}
     size = len(p["v"])
     logit = forward(p, x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"], mask, cache)
@@ -96,10 +96,12 @@ def gradients(p: Params, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight:
     dpre = de[:, :, None] * p["v"] * (1 - a * a)
     g["A"] = np.einsum("tbh,tbk->hk", h, dpre)
     dh = dh + dpre @ p["A"].T
+    g["x"] = np.zeros_like(x)
     for side, kept, part in (("f", cache["kf"], dh[:, :, :size]), ("b", cache["kb"], dh[:, :, size:])):
         dg, g[f"U{side}"] = _unscan(part, kept, p[f"U{side}"], mask, size)
         g[f"W{side}"] = np.einsum("tbi,tbg->ig", x, dg)
         g[f"c{side}"] = dg.sum((0, 1))
+        g["x"] += dg @ p[f"W{side}"].T
     return loss, g
 
 
