@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .tokens import encoder
 
 #: Documents and tokens after which a block is closed; they bound a task's memory.
-BLOCK_DOCS, BLOCK_TOKENS = 20_000, 16_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 20_000, 6_000_000
 #: The shortest of three lengths is at most this part of the window; it keeps the enumeration near 40,000 combinations.
 SHALLOW = 10
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -129,8 +129,8 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 0, window: int = 102
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents, each with ``end_id`` behind it.
 
     ``ids`` holds a piece's tokens as little-endian unsigned 32-bit integers. Defined results: a null or empty text is the
-    end id alone; a null id is kept; repeated rows are packed each for itself; an empty table gives no piece; other columns
-    are not read. ``sequence_id`` is unique over the table and follows from the row's partition, block and window.
+    end id alone; a null id is kept; repeated rows are packed each for itself; an empty table gives no piece; a text of any
+    length is cut into as many windows as it fills; other columns are not read, whatever their names. ``sequence_id`` is unique over the table and follows from the row's partition, block and window.
     """
 
     def run(batches):
@@ -154,7 +154,8 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 0, window: int = 102
 
         last = int(end_id).to_bytes(2, "little")
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k in range(batch.num_rows):
+                i, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 ids.append(i)
                 tokens.append(encode.packed(text or "") + last)
                 n += len(tokens[-1]) // 2
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 0, window: int = 102
         if ids:
             yield from close()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -17,7 +18,7 @@ import regex
 from .common import own_cache
 
 #: Cached cuts of one worker process; the cache is emptied when full.
-CACHE = 800_000
+CACHE = 600_000
 _UNSURE = re.compile(r"\s | \s|\s\s\s|\s\s\Z")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -44,7 +45,8 @@ class _Cut(dict):
     def __missing__(self, cut: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        word = "".join(map(str.lower, cut)) if self.lower else cut if cut[:1] == "\n" else " " + cut
+        plain = cut.isascii()
+        word = cut.lower() if self.lower and plain else "".join(map(str.lower, cut)) if self.lower else cut if cut[:1] == "\n" else " " + cut
         stem = word[not self.lower :]
         if stem.isalpha():  # letters only, perhaps with a mark behind, need no search for splits
             splits = [word]
@@ -52,8 +54,12 @@ class _Cut(dict):
             splits = [word[:-1], word[-1]]
         else:
             splits = (_SPLIT_WORDS if self.lower else _SPLIT_BYTES).findall(word)
-        ids = [t.id for s in splits for t in self.model.tokenize(s.encode().decode("latin-1").translate(_LETTERS))]
-        self[cut] = out = np.array(ids, "<u2").tobytes()
+        ids = array("H")
+        for s in splits:
+            # Printable bytes are their own letters, so that only other ones need the table.
+            letters = s if plain and self.lower else "\u0120" + s[1:] if plain and s[:1] == " " and s[1:].isalnum() else s.encode().decode("latin-1").translate(_LETTERS)
+            ids.extend([t.id for t in self.model.tokenize(letters)])
+        self[cut] = out = ids.tobytes()
         return out
 
 
@@ -70,7 +76,7 @@ class Encoder:
         self.cuts = _Cut(self.tokenizer, self.words)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
-        self.marks = {c for t in special for c in (t[0].lower(), t[0].upper())}
+        self.marks = {t[:2] for s in special for t in (s, s.lower(), s.upper(), s[0].lower() + s[1:2].upper(), s[0].upper() + s[1:2].lower())}
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian uint16."""
