@@ -12,26 +12,29 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit
-from .common import table
+from .common import no_cache, slices, table, trim
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+")
 # Elements by what a parser does with them.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hr".split())
-SILENT = frozenset("script style head title template noscript iframe svg math canvas object select button textarea audio video map".split())
+#: Of the silent ones the content is no text of the page: scripts, styles, markup that shows nothing or another page, drawings
+#: and controls of forms. All other elements, ``math``, ``object``, ``noscript`` and media among them, give their text.
+SILENT = frozenset("script style head title template iframe svg select button textarea".split())
 #: Of these the content is plain characters, which run to the end tag or to the end of the page.
 RAW = frozenset("script style textarea title".split())
-#: Elements of other languages, in which ``/>`` ends an element.
-FOREIGN = frozenset(("svg", "math"))
+#: Silent elements of another language, in which ``/>`` ends an element.
+FOREIGN = frozenset(("svg",))
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot"}
 SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -333,17 +336,20 @@ def main_text(html_col: Column) -> Column:
     """The main text of a column of pages.
 
     Defined results: null or empty pages and pages without an article give an empty text; text outside any element counts
-    as the article's; pages are independent of each other, so repeated rows get equal texts.
+    as the article's; an element without an end tag takes no more than its parent's rest, a silent one only its tag (unless
+    its content is plain characters, which then run to the end); buttons and other controls are forms; pages of any length
+    are read whole; pages are independent of each other, so that repeated rows get equal texts; an empty table stays empty.
     """
     trees = model()
 
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        values = [p or "" for p in pages]
-        out = []
-        for k in range(0, len(values), 200):
-            out += main_texts(values[k : k + 200], trees)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        no_cache()
+        try:
+            for column in batches:
+                yield pa.array([t for part in slices(column) for t in main_texts([x.decode() for x in part], trees)], pa.string())
+        finally:
+            trim()
 
     return run(html_col)
 
