@@ -1,9 +1,13 @@
 """Document quality by hierarchical empirical Bayes: the text's own evidence and that of its path and host.
 
 A logistic model on measures of the whole text gives each document odds of being good. Grouped sums of these over all
-documents tell how good a path (host and language) and a host are. Sparse paths are shrunk toward their host and sparse
-hosts toward the whole corpus, with prior strengths estimated from the spread between groups by the method of moments. A
-document's posterior odds are its own odds with the corpus's prior replaced by that of its path.
+documents tell how good a path and a host are. Sparse paths are shrunk toward their host and sparse hosts toward the whole
+corpus, with prior strengths estimated from the spread between groups by the method of moments. A document's posterior odds
+are its own odds with the corpus's prior replaced by that of its path, in which the other documents of path and host count
+and the document itself does not, so that its evidence enters once.
+
+Host and path are two columns. Tables with a url give its host and its first path segment; the test tables have none, and
+there the source stands for the host and the language of the text within that source for the path.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, saved, table
+from .common import held_out, saved, small, table
 from .quality_rules import CLASSES, measure
 
 #: At most so many labelled documents of each label are learned from, drawn by a hash of the id.
@@ -76,7 +80,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Defined results: null and empty texts are judged by their zero counts; null hosts and paths are groups of their own;
     without labels of both kinds every text has the same own score; repeated rows and null ids are judged each for itself
     and labels of a null id are ignored; ids with contradicting labels are not learned from; an empty table gives an empty
-    table; other columns are not read.
+    table; texts of any length are measured whole; other columns are not read, whatever their names.
     """
     site = F.to_json(F.struct(F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p")))
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site.alias("site"))
@@ -95,11 +99,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     everything = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     mean = float(everything.s / everything.n) if everything.n else 0.5
     of_host = _prior_strength(hosts, F.col("hn"), F.col("hs"), F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("h_"), ((of_host * mean + F.col("hs")) / (of_host + F.col("hn"))).alias("host_score"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_"))).select("site", "n", "s", "host_score")
-    of_path = _prior_strength(paths, F.col("n"), F.col("s"), F.col("host_score"))
-    paths = paths.select(F.col("site").alias("s_"), "host_score", ((of_path * F.col("host_score") + F.col("s")) / (of_path + F.col("n"))).alias("path_score"))
-    both = own.join(paths, F.col("site") == F.col("s_"))
+    paths = paths.join(small(saved(hosts.select(F.col("host").alias("h_"), "hn", "hs"))), F.col("host").eqNullSafe(F.col("h_"))).drop("h_")
+    of_path = _prior_strength(paths, F.col("n"), F.col("s"), (of_host * mean + F.col("hs")) / (of_host + F.col("hn")))
+    paths = saved(paths.select(F.col("site").alias("s_"), "n", "s", "hn", "hs"))
+    both = own.join(small(paths), F.col("site") == F.col("s_"))
+    # Without the document itself; counts stay above 0, as prior strengths do.
+    host_score = (of_host * mean + F.col("hs") - F.col("own")) / (of_host + F.col("hn") - 1)
+    both = both.withColumn("host_score", F.greatest(F.lit(0.0), host_score))
+    path_score = (of_path * F.col("host_score") + F.col("s") - F.col("own")) / (of_path + F.col("n") - 1)
+    both = both.withColumn("path_score", F.greatest(F.lit(0.0), path_score))
     score = _logit(F.col("own")) + TRUST * (_logit(F.col("path_score")) - _logit(F.lit(mean)))
     return both.select("id", (1 / (1 + F.exp(-score))).alias("score"), F.col("own").alias("own_score"), "path_score", "host_score")
 
