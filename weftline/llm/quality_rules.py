@@ -1,9 +1,9 @@
 """Quality rules: base counts, and divergence from the references of a document's language.
 
 Each document becomes two histograms: its characters by class and its words by common word of any of the languages (all
-others in one bin). The medians over all documents of a language are that language's references. A document is rejected when the Jensen-Shannon distance to a reference of its own language exceeds the limit,
-if it is long enough for its histogram to mean anything. Both passes read every document; what passes between them is one
-narrow row per document.
+others in one bin). The medians over all documents of a language are that language's references. A document is rejected when
+the Jensen-Shannon distance to a reference of its own language exceeds the limit, if it is long enough for its histogram to
+mean anything. Both passes read every document; what passes between them is one narrow row per document.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, small, table
+from .common import no_cache, saved, slices, small, table, tidy
 
 # Common function words of the four languages.
 COMMON = {
@@ -87,10 +87,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Base counts and histograms of every whole text; one narrow row per document."""
 
     def run(batches):
+        no_cache()
         for batch in batches:
-            texts = as_bytes(batch.column(2))
             rows = []
-            for text in texts:
+            for text in (t for part in slices(batch.column(2)) for t in part):
                 words = text.split()
                 kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=10)
                 bins = np.bincount(np.fromiter((_BIN.get(w, 0) for w in map(bytes.lower, words)), np.int32, len(words)), minlength=len(WORDS) + 1)
@@ -101,7 +101,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, *lists], names=names)
 
     narrow = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return narrow.mapInArrow(tidy(run), SCHEMA)
 
 
 def _share(histogram: Column, total: Column) -> Column:
@@ -137,7 +137,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own;
     languages without a long document have no reference and are judged by the base rules alone; repeated rows and null
-    ids are judged each for itself; an empty table gives an empty table; other columns are not read.
+    ids are judged each for itself; texts of any length are counted whole; an empty table gives an empty table; other
+    columns are not read, whatever their names.
     """
     rows = saved(measure(docs, id_col, text_col, lang_col)).withColumn("n_chars", F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))
     rows = rows.withColumn("p_classes", _share(F.col("classes"), F.col("n_chars"))).withColumn("p_words", _share(F.col("words"), F.col("n_words")))
