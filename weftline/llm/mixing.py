@@ -4,7 +4,8 @@ Every document draws an exponential key, ``-ln(u) / quality``; the smallest keys
 better documents are likelier. A source whose target exceeds its size is first taken whole as often as it fits
 (complete epochs); the remaining words come from the documents with the smallest keys, found through prefix sums. All of
 it is DataFrame work: sums by source and key bucket, windows over those sums, and windows over the one bucket of each
-source in which its budget runs out, so that no source is ever sorted in one task.
+source in which its budget runs out, which is split again while it is large, so that no source is ever sorted in one task.
+Windows over sources hold one row for each source.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import saved, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
+#: Rows of a source that are sorted in one task where its budget ends; more are split by their keys first.
+SORTED_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,21 +64,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: float) ->
 
 
 def _crossing(rows: DataFrame, buckets: int) -> DataFrame:
-    """For rows (source, key, size, left): by source, the first key that no longer fits ``left``, and the sum before it."""
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"), F.first("left").alias("left"))
-    sums = sums.withColumn("base", F.sum("s").over(by_bucket) - F.col("s"))
+    """For rows (source, key, size, left): by source, the first key that no longer fits ``left``, and the sum before it.
+
+    Sums by bucket of keys tell in which bucket a source's budget ends. A bucket with many rows is split again, over the
+    range of keys that it really holds, until what is left to sort is few rows or one key.
+    """
     over = F.col("base") + F.col("s") > F.col("left")
-    total = sums.groupBy("source").agg(
-        F.min(F.when(over, F.struct("bucket", "base"))).alias("c"), F.sum("s").alias("all")
-    )
-    total = saved(total.select("source", F.col("c.bucket").alias("at"), F.col("c.base").alias("base"), "all"))
-    last = total.where("at IS NOT NULL").select(F.col("source").alias("s_"), "at", "base")
-    inside = rows.join(small(last), F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("at")))
-    inside = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("left").alias("left"), F.first("base").alias("base"))
+    sums = [F.sum("size").alias("s"), F.count("*").alias("n"), F.first("left").alias("left"), F.min("key").alias("lo"), F.max("key").alias("hi")]
+    by_bucket = Window.partitionBy("source").orderBy("bucket")
+    ends = F.min(F.when(over, F.struct("bucket", "base", "n", "lo", "hi"))).alias("c")
+    bucket = F.floor((1 - F.exp(-F.col("key"))) * buckets).alias("bucket")
+    found = rows.groupBy("source", bucket).agg(*sums).withColumn("base", F.sum("s").over(by_bucket) - F.col("s"))
+    found = total = saved(found.groupBy("source").agg(ends, F.sum("s").alias("all")).select("source", "c.base", "c.n", "c.lo", "c.hi", "all"))
+
+    def inside():
+        last = found.where("lo IS NOT NULL").select(F.col("source").alias("s_"), F.col("base").alias("from"), F.col("lo").alias("a_"), F.col("hi").alias("b_"))
+        return rows.join(small(last), F.col("source").eqNullSafe(F.col("s_")) & (F.col("key") >= F.col("a_")) & (F.col("key") <= F.col("b_")))
+
+    while not found.where((F.col("n") > SORTED_ROWS) & (F.col("lo") < F.col("hi"))).isEmpty():
+        part = F.when(F.col("b_") > F.col("a_"), F.floor((F.col("key") - F.col("a_")) / (F.col("b_") - F.col("a_")) * buckets)).otherwise(0).alias("bucket")
+        finer = inside().groupBy("source", part).agg(*sums, F.first("from").alias("from"))
+        finer = finer.withColumn("base", F.col("from") + F.sum("s").over(by_bucket) - F.col("s"))
+        found = saved(finer.groupBy("source").agg(ends).select("source", "c.base", "c.n", "c.lo", "c.hi"))
+    one = inside().groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("left").alias("left"), F.first("from").alias("base"))
     end = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("key"))
-    first = inside.withColumn("end", end).where("end > left").groupBy("source").agg(F.min(F.struct("key", "size", "end")).alias("f"))
+    first = one.withColumn("end", end).where("end > left").groupBy("source").agg(F.min(F.struct("key", "size", "end")).alias("f"))
     first = first.select(F.col("source").alias("s_"), "f")
     return total.join(first, F.col("source").eqNullSafe(F.col("s_")), "left").select(
         "source",
@@ -144,7 +157,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """For each row: id, size, source_size, target, copies and the words that the mix takes of it."""
+    """For each row: id, size, source_size, target, copies and the words that the mix takes of it.
+
+    Defined results: those of :func:`mix`; ids may be null or repeated, and each row is told for itself; texts of any length
+    are counted whole; an empty table gives an empty table; other columns are not read.
+    """
     rows, plan = plan_mix(docs, **options)
     plan = plan.withColumnRenamed("source", "s_")
     out = rows.join(small(plan), F.col("source").eqNullSafe(F.col("s_"))).withColumn("copies", _copies())
