@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of ``edges`` (columns a, b) the smallest node that it reaches.
 
     Each round takes over the smallest label among a node's neighbours and then the label of its label, so that rounds grow
@@ -16,15 +16,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so that it ends
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         step = step.join(labels.select(F.col("node").alias("p"), F.col("component").alias("pc")), F.col("c") == F.col("p"), "left")
         new = saved(step.select("node", F.least("c", F.coalesce("pc", "c")).alias("component"), (F.least("c", F.coalesce("pc", "c")) != F.col("old")).alias("moved")))
-        labels = new.select("node", "component")
+        release(labels)
         if new.where("moved").limit(1).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            release(both)
+            return new.select("node", "component")
+        labels = new
 
 
 class Sets:
