@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.weights import W, consolidate, unweighted, weighted
 from ..operators import incremental as inc
 from ..operators.relational import top_k
-from ..sources.state import StateStore
 from ..sources.table import KeyedTable
 from . import tree as p
+from .maintain import Maintained
 
 Order = str | Column
 
@@ -113,25 +113,33 @@ class View:
     """A result kept in step with its tables. Contents are committed before anyone is told of a change."""
 
     def __init__(self, query: Query):
-        self.query, self.plan = query, p.optimize(query.plan)
+        self.query = query
         self.old = query.env()
-        spark = next(iter(query.tables.values())).spark
-        self.store = StateStore(spark)
-        self.state = self.store.commit(consolidate(self.plan.eval(self.old)))
+        self.kept = Maintained(p.optimize(query.plan), next(iter(query.tables.values())).spark)
+        self.kept.start(self.old.__getitem__)
+        self.version, self.errors = 0, []
         self.subscribers: list[tuple[Callable, Callable | None]] = []
         self._end = [t.subscribe(lambda d, k=k: self._on(k, d)) for k, t in query.tables.items()]
 
     def _on(self, name: str, delta: DataFrame) -> None:
-        change = consolidate(self.plan.step(self.old, {name: delta}))
+        """All subscribers are told, whatever one of them raises; errors are kept and the first is raised at the end."""
+        self.version += 1
+        change = self.kept.step(self.old.__getitem__, {name: delta}, self.version)
         self.old = self.old | {name: self.query.tables[name].to_zset()}
-        self.state = self.store.commit(consolidate(self.state.unionByName(change)))
+        failed = []
         for rows, changes in list(self.subscribers):
-            rows(self.to_df())
-            if changes:
-                changes(change)
+            try:
+                rows(self.to_df())
+                if changes and change is not None:
+                    changes(change)
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+        self.errors += failed
+        if failed:
+            raise failed[0]
 
     def to_df(self) -> DataFrame:
-        out = self.state.where(F.col(W) > 0).drop(W)
+        out = self.kept.result.net().where(F.col(W) > 0).drop(W)
         return out.orderBy(*self.query.order) if self.query.order else out
 
     def subscribe(self, rows: Callable[[DataFrame], None], changes: Callable[[DataFrame], None] | None = None) -> Callable[[], None]:

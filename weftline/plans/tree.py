@@ -13,12 +13,12 @@ Each node knows whether it is linear (its own incremental form), bilinear (produ
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.weights import consolidate, negate, subtract, union_all
+from ..functions.weights import T, W, consolidate, empty_like, negate, quoted, record_columns, subtract, union_all, weighted
 from ..operators import incremental as inc
 from ..operators import relational as r
 
@@ -37,6 +37,10 @@ class Node:
         """Incremental form over changelogs; that of linear and bilinear operators is the operator itself."""
         return self.apply(*logs)
 
+    def product(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Of a bilinear operator: :meth:`apply` for inputs of which records may stand in several rows."""
+        return self.apply(a, b)
+
     def eval(self, env: Env) -> DataFrame:
         return self.apply(*[x.eval(env) for x in self.inputs])
 
@@ -44,13 +48,16 @@ class Node:
         return self.apply_delta(*[x.delta(env) for x in self.inputs])
 
     def step(self, old: Env, change: Env) -> DataFrame:
-        new = {k: union_all(v, change[k]) if k in change else v for k, v in old.items()}
+        """Without state: operators that are not linear evaluate the new and the old contents. See :mod:`.maintain`."""
+        if not self.sources() & set(change):
+            return empty_like(self.eval(old))
         if self.linear:
             return self.apply(*[x.step(old, change) for x in self.inputs])
         if self.bilinear:
             a, b = self.inputs
             da, db = a.step(old, change), b.step(old, change)
-            return union_all(self.apply(da, union_all(b.eval(old), db)), self.apply(a.eval(old), db))
+            return union_all(self.product(da, union_all(b.eval(old), db)), self.product(a.eval(old), db))
+        new = {k: union_all(v, change[k]) if k in change else v for k, v in old.items()}
         return subtract(self.eval(new), self.eval(old))
 
     def sources(self) -> set[str]:
@@ -157,6 +164,11 @@ class Intersect(Node):
     def apply(self, a, b):
         return r.intersect(a, b)
 
+    def product(self, a, b):
+        names = record_columns(a)
+        joined = r.equi_join(a, b.select(*quoted([*names, *([T] if T in b.columns else []), W])), names, merge=False)
+        return joined.select(*[F.col(f"`l_{c}`").alias(c) for c in names], *([T] if T in joined.columns else []), W)
+
     @property
     def is_set(self):
         return all(x.is_set for x in self.inputs)
@@ -256,10 +268,6 @@ def _positive(node: Node) -> bool:
 
 def naive_delta(node: Node, env: Env) -> DataFrame:
     """Snapshot differences of ``eval`` time by time: slow, and right by definition."""
-    from pyspark.sql import functions as F
-
-    from ..functions.weights import T, weighted
-
     times = sorted({x[0] for log in env.values() for x in log.select(T).distinct().collect()})
     out, before = None, None
     for t in times:
@@ -267,6 +275,3 @@ def naive_delta(node: Node, env: Env) -> DataFrame:
         change = weighted(now if before is None else subtract(now, before), F.col("__w"), t)
         out, before = change if out is None else union_all(out, change), now
     return consolidate(out)
-
-
-Rule = Callable[[Node], Node]

@@ -1,8 +1,8 @@
 """Views kept live by Structured Streaming.
 
 Spark runs one stateful operator in a stream, without retractions. Queries of more stages run in ``foreachBatch``: each
-micro-batch is a change of one source, the plan's one-step form turns it into a change of the result, and sources and
-result are committed under the batch's number, so that a repeated batch finds its version and changes nothing.
+micro-batch is a change of one source, the kept plan turns it into a change of the result, and all state is committed under
+the batch's number, so that a repeated batch finds its version and changes nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.weights import W, consolidate, union_all, weighted
+from ..functions.weights import W, consolidate, empty_like, union_all, weighted
 from ..plans import tree as p
-from ..sources.state import StateStore
+from ..plans.maintain import Maintained
+from ..sources.state import DeltaState
 
 
 class LiveView:
@@ -22,35 +23,31 @@ class LiveView:
 
     def __init__(self, plan: p.Node, stream_name: str, fixed: p.Env, path: str, on_change: Callable[[DataFrame, int], None] | None = None):
         self.plan, self.name, self.fixed, self.on_change, self.path = p.optimize(plan), stream_name, fixed, on_change, path
-        self.source = self.result = self.changes = None
-
-    def _open(self, spark) -> None:
-        if self.source is None:
-            self.source, self.result, self.changes = (StateStore(spark, f"{self.path}/{x}") for x in ("source", "result", "changes"))
+        self.source: DeltaState | None = None
+        self.kept: Maintained | None = None
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch of rows with ``__w`` (1 if they have none)."""
-        self._open(batch.sparkSession)
-        delta = consolidate(batch if W in batch.columns else weighted(batch))
-        earlier = lambda s: max((v for v in s.versions if v < batch_id), default=None)
-        before = earlier(self.source)
-        old = delta.limit(0) if before is None else self.source.read(before)
-        change = self.changes.commit(consolidate(self.plan.step(self.fixed | {self.name: old}, {self.name: delta})), batch_id)
-        if before is None:
-            first = self.plan.eval(self.fixed | {self.name: old})
-            change = consolidate(union_all(first, change))
-        was = earlier(self.result)
-        self.result.commit(change if was is None else consolidate(union_all(self.result.read(was), change)), batch_id)
-        self.source.commit(consolidate(union_all(old, delta)), batch_id)
+        """One micro-batch of rows with ``__w`` (1 if they have none). Its state has the number of the batch plus one."""
+        if self.kept is None:
+            self.source, self.kept = DeltaState(batch.sparkSession, f"{self.path}/source"), Maintained(self.plan, batch.sparkSession, f"{self.path}/view")
+        version = batch_id + 1
+        z = batch if W in batch.columns else weighted(batch)
+        if 0 not in self.source.bases.versions:
+            self.source.start(empty_like(consolidate(z)))
+        contents = lambda name: self.source.read(version) if name == self.name else self.fixed[name]
+        first = None
+        if self.kept.result.latest in (None, version) and len(self.kept.result.bases.versions) < 2:
+            first = self.kept.start(lambda name: self.source.bases.read(0) if name == self.name else self.fixed[name])
+        change = self.kept.step(contents, {self.name: self.source.append(consolidate(z), version)}, version)
         if self.on_change:
-            self.on_change(change, batch_id)
+            self.on_change(change if first is None else consolidate(union_all(first, change)), batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).outputMode("append")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def to_df(self) -> DataFrame:
-        return self.result.read().where(F.col(W) > 0).drop(W)
+        return self.kept.result.net().where(F.col(W) > 0).drop(W)
 
 
 def stream_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:

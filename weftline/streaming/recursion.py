@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..functions.weights import W, subtract, union_all, weighted
+from ..functions.weights import W, record_columns, weighted
 from ..operators.relational import distinct
-from ..sources.state import StateStore
+from ..sources.state import StateStore, having
 
 
-def fixed_point(seed: DataFrame, step: Callable[[DataFrame], DataFrame], store: StateStore, *, max_iterations: int = 1000) -> DataFrame:
+def fixed_point(seed: DataFrame, step: Callable[[DataFrame], DataFrame], store: StateStore, *, max_iterations: int | None = None) -> DataFrame:
     """Semi-naive least fixed point of ``x = distinct(seed + step(x))`` for a linear ``step``.
 
-    Only what the last round has added goes through ``step``. Every round's results are written to ``store``, which cuts
-    the lineage and survives lost executors; the loop ends when a round adds nothing.
+    Only what the last round has added goes through ``step``. Every round writes what it has added to ``store``, which cuts
+    the lineage and survives lost executors; the loop ends when a round adds nothing, and only a given ``max_iterations``
+    ends it earlier, with an error.
     """
-    found = store.commit(distinct(seed))
-    fresh = found
-    for _ in range(max_iterations):
-        new = subtract(distinct(union_all(step(fresh), found)), found)
-        new = distinct(new.where(f"{W} > 0"))
-        fresh = store.commit(new, keep=True)
+    first = 0 if store.latest is None else store.latest + 1
+    fresh = store.commit(distinct(seed))
+    for _ in itertools.count() if max_iterations is None else range(max_iterations):
+        found = store.read(*[v for v in store.versions if v >= first])
+        names = record_columns(found)
+        fresh = store.commit(having(distinct(step(fresh)), found, names, without=True))
         if fresh.isEmpty():
             return found
-        found = store.commit(union_all(found, fresh), keep=True)
     raise RuntimeError(f"no fixed point after {max_iterations} rounds")
 
 
