@@ -101,6 +101,46 @@ def by_snapshots(per_tick: Callable[..., DataFrame], *logs: DataFrame) -> DataFr
     return differences(per_tick(*[snapshots(log, times) for log in logs]), times)
 
 
+#: Levels of the tree over times: up to two to this power of different times.
+LEVELS = 30
+_NODES = f"""flatten(transform(sequence(0, {LEVELS}), l -> transform(filter(
+    array_distinct(array(shiftright(__a + shiftleft(1L, l) - 1, l), shiftright(__b, l) - 1)),
+    j -> shiftright(__a + shiftleft(1L, l) - 1, l) <= shiftright(__b, l) - 1 AND (l = {LEVELS} OR NOT (
+        shiftleft(shiftright(j, 1), l + 1) >= __a AND shiftleft(shiftright(j, 1) + 1, l + 1) <= __b))),
+    j -> struct(l AS level, j AS node))))"""
+
+
 def top_k(log: DataFrame, order: Sequence[Column], k: int | None = None, offset: int = 0) -> DataFrame:
-    """Which records enter and leave the window of ranks at each time. Needs the order within each time's snapshot."""
-    return by_snapshots(lambda s: r.top_k(s, order, k, offset), log)
+    """Which records enter and leave the window of ranks at each time. Put a unique tie-break last in ``order``.
+
+    A record holds for spans of times. A binary tree over the times cuts each span into few nodes; of a node's records only
+    the first ``k + offset`` can be in a window of any of its times, and a time finds its window among those of the nodes
+    above it. Rows grow with the logarithm of the number of times, and no snapshot is made.
+    """
+    held = distinct(log)
+    if k is None:
+        return consolidate(union_all(held, negate(top_k(log, order, offset)))) if offset else held
+    names = record_columns(log)
+    ticks = held.select(T).distinct().withColumn("__at", F.row_number().over(Window.orderBy(T)).cast("long") - 1)
+    spans = held.withColumn("__until", F.lead(T).over(Window.partitionBy(*quoted(names)).orderBy(T))).where(F.col(W) > 0)
+    spans = spans.join(ticks.select(F.col(T).alias("__t1"), F.col("__at").alias("__a")), F.col(T) == F.col("__t1"))
+    spans = spans.join(ticks.select(F.col(T).alias("__t2"), F.col("__at").alias("__b")), F.col("__until") == F.col("__t2"), "left")
+    spans = spans.select(*quoted(names), "__a", F.coalesce("__b", F.lit(1 << LEVELS)).alias("__b"))
+    nodes = spans.select(*quoted(names), F.explode(F.expr(_NODES)).alias("__node")).select(*quoted(names), "__node.level", "__node.node")
+    first = nodes.withColumn("__rank", F.row_number().over(Window.partitionBy("level", "node").orderBy(*order))).where(F.col("__rank") <= k + offset)
+    above = ticks.select(T, F.explode(F.expr(f"transform(sequence(0, {LEVELS}), l -> struct(l AS level, shiftright(__at, l) AS node))")).alias("n")).select(T, "n.level", "n.node")
+    near = first.drop("__rank").join(above, ["level", "node"]).drop("level", "node")
+    near = near.withColumn("__rank", F.row_number().over(Window.partitionBy(T).orderBy(*order)))
+    window = near.where((F.col("__rank") > offset) & (F.col("__rank") <= offset + k)).drop("__rank").withColumn(W, F.lit(1).cast("long"))
+    return differences(window.select(*quoted([*names, T, W])), ticks)
+
+
+def bilinear_by_integrals(a: DataFrame, b: DataFrame, product: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A bilinear operator by the older form I(a) x b + a x z^-1(I(b)): what the single product of changelogs is tested against.
+
+    ``product`` works per tick and must keep the time of both sides equal.
+    """
+    times = a.select(T).union(b.select(T)).distinct()
+    following = _next_time(times).where(F.col("__next").isNotNull())
+    late = snapshots(b, times).join(following, T).withColumn(T, F.col("__next")).drop("__next").select(*b.columns)
+    return consolidate(union_all(product(snapshots(a, times), b), product(a, late)))

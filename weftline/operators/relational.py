@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,13 +121,16 @@ def extremes(z: DataFrame, by: Sequence[str], /, **columns: Column) -> DataFrame
 def top_k(z: DataFrame, order: Order, k: int | None = None, offset: int = 0, *, rank: bool = False) -> DataFrame:
     """Records of positive weight in order, from ``offset`` on, ``k`` at most, each once. Put a unique tie-break last.
 
-    A Z-set is cut by a distributed top-k; a changelog per tick by a rank within each time. ``rank`` adds ``__rank``.
+    A Z-set is cut by a distributed top-k; a changelog per tick by a rank within each time. ``rank`` adds ``__rank``, from 0;
+    without ``k`` it comes from sorted ranges and their sizes, and no task sees all rows.
     """
     rows = distinct(z)
     if is_changelog(z):
         rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(T).orderBy(*order)) - 1 - offset)
         rows = rows.where((F.col("__rank") >= 0) & (F.col("__rank") < (k if k is not None else 1 << 62)))
         return rows if rank else rows.drop("__rank")
+    if rank and k is None:
+        return ranked(rows, order).where(F.col("__rank") >= offset).withColumn("__rank", F.col("__rank") - offset)
     rows = rows.orderBy(*order)
     rows = rows.offset(offset) if offset else rows
     rows = rows.limit(k) if k is not None else rows
@@ -135,5 +139,45 @@ def top_k(z: DataFrame, order: Order, k: int | None = None, offset: int = 0, *,
     return rows
 
 
+def ranked(rows: DataFrame, order: Order) -> DataFrame:
+    """``rows`` with ``__rank``, their place in the order from 0. Sorted ranges are written once, and their sizes added up."""
+    from ..sources.state import StateStore
+
+    place = F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")
+    parts = StateStore(rows.sparkSession).commit(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", *place))
+    sizes = parts.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    out = parts.join(sizes, F.col("__part") == F.col("__p")).withColumn("__rank", F.col("__before") + F.col("__place"))
+    return out.drop("__part", "__place", "__p", "__before")
+
+
+@dataclass(frozen=True)
+class Indexed:
+    """An indexed Z-set: a Z-set for each key. It is one table, of which the columns ``by`` are the key; a group may be as
+    large as it likes, as its rows stay rows. Grouping is linear, so that changes of the Z-set are changes of its groups."""
+
+    df: DataFrame
+    by: tuple[str, ...]
+
+    def get(self, *key) -> DataFrame:
+        """The Z-set of one key, each record once; empty if the key is not there."""
+        match = reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(self.by, key, strict=True)])
+        return consolidate(self.df.where(match))
+
+    def keys(self) -> DataFrame:
+        return consolidate(self.df).select(*quoted(list(self.by))).distinct()
+
+    def aggregate(self, **columns: Column) -> DataFrame:
+        return aggregate(self.df, self.by, **columns)
+
+    def __add__(self, other: Indexed) -> Indexed:
+        return Indexed(union_all(self.df, other.df), self.by)
+
+
+def group_by(z: DataFrame, *by: str) -> Indexed:
+    return Indexed(z, by)
+
+
 def order_by(z: DataFrame, order: Order, limit: int | None = None, offset: int = 0) -> DataFrame:
     return top_k(z, order, limit, offset)

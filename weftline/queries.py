@@ -18,9 +18,9 @@ from .plans import tree as p
 from .plans.query import create_query, standalone_aggregate
 from .sources.state import StateStore
 from .sources.table import KeyedTable
-from .streaming.changelog import Circuit, Stream
+from .streaming.changelog import OUTER, Circuit, Nested, Stream, tuple_stream
 from .streaming.recursion import transitive_closure
-from .streaming.stateful import StatefulEquiJoin, StatefulTopK
+from .streaming.stateful import StatefulEquiJoin, StatefulTopK, create_stateful_join
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,7 +69,9 @@ def out(df: DataFrame) -> DataFrame:
 
 O = f"(SELECT *, CAST({WEIGHT} AS BIGINT) AS w, CAST({TIME} AS BIGINT) AS t, {PRICE} AS price FROM orders)"  # noqa: E741
 C = "(SELECT *, CAST(1 + c_custkey % 2 AS BIGINT) AS w, CAST(c_custkey % 10 AS BIGINT) AS t FROM customer)"
-LOW, HIGH = f"(SELECT * FROM {O} WHERE o_orderkey % 2 = 0)", f"(SELECT * FROM {O} WHERE o_orderkey % 3 = 0)"
+OTHER = "CASE WHEN o_orderkey % 4 = 0 THEN -2 ELSE o_orderkey % 4 END"
+#: Two operands over all orders, which differ in their weights.
+LOW, HIGH = O, f"(SELECT * EXCLUDE (w), CAST({OTHER} AS BIGINT) AS w FROM {O})"
 
 
 def merged(columns: str, source: str, weight: str = "w", where: str = "TRUE") -> str:
@@ -93,8 +95,7 @@ KEYS = ("o_custkey", "o_orderpriority")
 
 
 def halves(s, d):
-    both = orders(s, d, *KEYS, "o_orderkey")
-    return both.where("o_orderkey % 2 = 0").drop("o_orderkey"), both.where("o_orderkey % 3 = 0").drop("o_orderkey")
+    return orders(s, d, *KEYS), orders(s, d, *KEYS, "o_orderkey").withColumn(W, F.expr(OTHER).cast("long")).drop("o_orderkey")
 
 
 @query("zset_consolidate", merged("o_custkey, o_orderpriority", O))
@@ -102,7 +103,7 @@ def _(s, d):
     return out(ZSet(orders(s, d, *KEYS)).merge().data)
 
 
-@query("zset_add", merged("o_custkey, o_orderpriority", f"(SELECT * FROM {LOW} UNION ALL SELECT * FROM {HIGH})"))
+@query("zset_add", merged("o_custkey, o_orderpriority", f"(SELECT o_custkey, o_orderpriority, w FROM {LOW} UNION ALL SELECT o_custkey, o_orderpriority, w FROM {HIGH})"))
 def _(s, d):
     a, b = halves(s, d)
     return out((ZSet(a) + ZSet(b)).df)
@@ -136,6 +137,18 @@ def _(s, d):
     return out((z - z).df)
 
 
+@query("zset_zero_element", merged("o_custkey, o_orderpriority", O))
+def _(s, d):
+    z = ZSet(orders(s, d, *KEYS))
+    return out((z + z.zero()).df)
+
+
+@query("zset_is_merged", "SELECT FALSE AS as_given, TRUE AS after_merge, TRUE AS after_add, FALSE AS after_append")
+def _(s, d):
+    z = ZSet(orders(s, d, "o_custkey"))
+    return s.createDataFrame([(z.merged, z.merge().merged, (z + z).merged, z.append(z.df).merged)], "as_given boolean, after_merge boolean, after_add boolean, after_append boolean")
+
+
 @query("zset_predicates", f"SELECT (SELECT bool_and(w = 1) FROM ({merged('o_orderkey', O)})) AS is_set, (SELECT bool_and(w >= 0) FROM ({merged('o_orderkey', O)})) AS is_positive, (SELECT count(*) = 0 FROM ({merged('o_orderkey', O)})) AS is_empty")
 def _(s, d):
     z = ZSet(orders(s, d, "o_orderkey"))
@@ -275,6 +288,11 @@ def _(s, d):
     return out(r.aggregate(z, ["o_custkey"], n=r.count(), total=r.total("price").cast("double"), mean=avg()))
 
 
+@query("group_by_index", "SELECT o_orderkey, o_orderpriority, CAST(1 + o_orderkey % 3 AS BIGINT) AS w FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_orderpriority, CAST(-1 AS BIGINT) AS w FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0")
+def _(s, d):
+    return out(r.group_by(orders(s, d, "o_orderkey", "o_orderpriority"), "o_orderpriority").get("1-URGENT"))
+
+
 @query("group_extremes", f"SELECT o_orderpriority, CAST(MIN(price) AS DOUBLE) AS low, CAST(MAX(price) AS DOUBLE) AS high FROM {O} WHERE w > 0 GROUP BY 1")
 def _(s, d):
     z = orders(s, d, "o_orderkey", "o_orderpriority", "price")
@@ -308,6 +326,11 @@ def _(s, d):
     return ranked.select("c_custkey", "c_acctbal", F.col("__rank").alias("rank"))
 
 
+@query("rank_all", f"SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS rank FROM {O} WHERE w > 0")
+def _(s, d):
+    return r.top_k(orders(s, d, "o_orderkey", "o_totalprice"), dearest(), rank=True).select("o_orderkey", "o_totalprice", F.col("__rank").alias("rank"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -356,6 +379,25 @@ def _(s, d):
     return out(circuit.execute(Stream(log(s, d, "o_orderpriority", "price"))).log)
 
 
+@query("zero_after", "SELECT FALSE AS after_8, TRUE AS after_9")
+def _(s, d):
+    x = Stream(log(s, d, "o_custkey"))
+    return s.createDataFrame([(x.is_zero_after(8), x.is_zero_after(9))], "after_8 boolean, after_9 boolean")
+
+
+@query("tuple_stream", merged("side, k", f"(SELECT 'l' AS side, o_custkey AS k, w FROM {O} WHERE t = 4 UNION ALL SELECT 'r', c_custkey, w FROM {C} WHERE t = 4)"))
+def _(s, d):
+    pair = tuple_stream(Stream(log(s, d, "o_custkey")), Stream(customers(s, d, "c_custkey"))).at(4)
+    return out(w.union_all(pair.left.df.select(F.lit("l").alias("side"), F.col("o_custkey").alias("k"), W), pair.right.df.select(F.lit("r").alias("side"), F.col("c_custkey").alias("k"), W)))
+
+
+@query("nested_lift", f"SELECT o_custkey, o_orderkey % 3 AS t0, x.t AS t, CAST(SUM(w) AS BIGINT) AS w FROM {O} o JOIN (SELECT range AS t FROM range(0, 10)) x ON o.t <= x.t WHERE price > 100000 GROUP BY 1, 2, 3 HAVING SUM(w) <> 0")
+def _(s, d):
+    nested = Nested(log(s, d, "o_custkey", "price", (F.col("o_orderkey") % 3).alias(OUTER)))
+    lifted = nested.lift(lambda x: Stream(r.project(r.where(x.log, "price > 100000"), "o_custkey", OUTER)).integrate(until=10))
+    return out(lifted.log.withColumnRenamed(OUTER, "t0"))
+
+
 @query("delta0", merged("o_custkey, t", f"(SELECT o_custkey, 0::BIGINT AS t, w FROM {O})"))
 def _(s, d):
     return out(w.consolidate(Stream.impulse(orders(s, d, "o_custkey")).log))
@@ -373,6 +415,23 @@ def _(s, d):
     return out(joined.execute(Stream(log(s, d, "o_custkey", "o_orderpriority")), Stream(customers(s, d, "c_custkey", "c_mktsegment"))).log)
 
 
+def _tick_join(a, b):
+    """Orders and customers of the same time, by the columns of the query."""
+    right = b.select("c_custkey", "c_mktsegment", F.col(T).alias("__tc"), F.col(W).alias("__wc"))
+    joined = a.join(right, (F.col("o_custkey") == F.col("c_custkey")) & (F.col(T) == F.col("__tc")))
+    return w.consolidate(joined.select("o_orderpriority", "c_mktsegment", T, (F.col(W) * F.col("__wc")).alias(W)))
+
+
+@query("naive_join", by_snapshots("o_orderpriority, c_mktsegment", JOINED))
+def _(s, d):
+    return out(Circuit.naive(_tick_join).execute(Stream(log(s, d, "o_custkey", "o_orderpriority")), Stream(customers(s, d, "c_custkey", "c_mktsegment"))).log)
+
+
+@query("bilinear_old_form", by_snapshots("o_orderpriority, c_mktsegment", JOINED))
+def _(s, d):
+    return out(inc.bilinear_by_integrals(log(s, d, "o_custkey", "o_orderpriority"), customers(s, d, "c_custkey", "c_mktsegment"), _tick_join))
+
+
 SUPP = "(SELECT s_suppkey, s_acctbal, s_nationkey, CAST(1 + s_suppkey % 2 AS BIGINT) AS w, CAST(s_suppkey % 5 AS BIGINT) AS t FROM supplier)"
 NATION = "(SELECT n_name, n_nationkey, CAST(CASE WHEN n_nationkey % 4 = 0 THEN -1 ELSE 1 END AS BIGINT) AS w, CAST(n_nationkey % 7 AS BIGINT) AS t FROM nation)"
 
@@ -397,8 +456,7 @@ def _(s, d):
 
 
 def half_logs(s, d):
-    both = log(s, d, "o_custkey", "o_orderkey")
-    return both.where("o_orderkey % 2 = 0").drop("o_orderkey"), both.where("o_orderkey % 3 = 0").drop("o_orderkey")
+    return log(s, d, "o_custkey"), log(s, d, "o_custkey", "o_orderkey").withColumn(W, F.expr(OTHER).cast("long")).drop("o_orderkey")
 
 
 def half_snapshots(pick: str) -> str:
@@ -444,6 +502,12 @@ def _(s, d):
     return out(inc.aggregate(log(s, d, "o_orderkey", "price"), [], {"v": F.col("price")}, {"total": lambda x: x["v"].cast("double")}))
 
 
+@query("inc_average", by_snapshots("o_orderpriority, mean", f"SELECT o_orderpriority, ROUND(SUM(CAST(price AS DOUBLE) * w) / NULLIF(SUM(w), 0), 4) AS mean, 1 AS w FROM {O} WHERE t <= x.t GROUP BY 1"))
+def _(s, d):
+    results = {"mean": lambda x: F.round(inc.average("v")({"v": x["v"].cast("double"), "count": x["count"]}), 4)}
+    return out(inc.aggregate(log(s, d, "o_orderkey", "o_orderpriority", "price"), ["o_orderpriority"], {"v": F.col("price")}, results))
+
+
 @query("inc_group_agg", by_snapshots("o_custkey, n, total", f"SELECT o_custkey, CAST(SUM(w) AS BIGINT) AS n, CAST(SUM(price * w) AS DOUBLE) AS total, 1 AS w FROM {O} WHERE t <= x.t GROUP BY 1"))
 def _(s, d):
     results = {"n": inc.count, "total": lambda x: x["v"].cast("double")}
@@ -461,6 +525,17 @@ def _(s, d):
     return out(r.aggregate(z, ["o_orderpriority"], total=r.total("price").cast("double"), mean=avg()).select(T, "o_orderpriority", "total", "mean"))
 
 
+@query("tick_sum_circuit", f"SELECT t, o_orderpriority, CAST(SUM(price * w) AS DOUBLE) AS total FROM {O} GROUP BY 1, 2")
+def _(s, d):
+    tick = Circuit.per_tick(["o_orderpriority"], total=r.total("price"))
+    return tick.execute(Stream(log(s, d, "o_orderkey", "o_orderpriority", "price"))).log.select(F.col(T).alias("t"), "o_orderpriority", F.col("total").cast("double").alias("total"))
+
+
+@query("circuit_order_by", by_snapshots("o_orderkey, o_totalprice", f"SELECT o_orderkey, o_totalprice, 1 AS w FROM {O} WHERE w > 0 AND t <= x.t ORDER BY o_totalprice, o_orderkey LIMIT 40"))
+def _(s, d):
+    return out(Circuit.order_by([F.asc("o_totalprice"), F.asc("o_orderkey")], 40).execute(Stream(log(s, d, "o_orderkey", "o_totalprice"))).log)
+
+
 @query("inc_topk", by_snapshots("o_orderkey, o_totalprice", f"SELECT o_orderkey, o_totalprice, 1 AS w FROM {O} WHERE w > 0 AND t <= x.t ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5"))
 def _(s, d):
     return out(Circuit.top_k(dearest(), 15, 5).execute(Stream(log(s, d, "o_orderkey", "o_totalprice"))).log)
@@ -473,6 +548,20 @@ def _(s, d):
     return out(plan.delta({"o": log(s, d, "o_orderkey", "o_custkey", "price"), "c": customers(s, d, "c_custkey", "c_mktsegment")}))
 
 
+@query("eliminate_distinct", f"SELECT o_custkey, CAST(1 AS BIGINT) AS w FROM {O} WHERE w > 0 AND o_custkey % 2 = 0 GROUP BY 1")
+def _(s, d):
+    inner = p.Distinct((p.Where((p.Source((), "o"),), F.col(W) > 0),))
+    plan = p.Distinct((p.Where((p.Project((inner,), ("o_custkey",), False),), F.expr("o_custkey % 2 = 0")),))
+    better = p.optimize(plan)
+    return out(better.eval({"o": orders(s, d, "o_orderkey", "o_custkey")}))
+
+
+@query("is_linear", "SELECT * FROM (VALUES ('Source', TRUE, FALSE), ('Where', TRUE, FALSE), ('Project', TRUE, FALSE), ('UnionAll', TRUE, FALSE), ('Negate', TRUE, FALSE), ('EquiJoin', FALSE, TRUE), ('ThetaJoin', FALSE, TRUE), ('Intersect', FALSE, TRUE), ('Distinct', FALSE, FALSE), ('Union', FALSE, FALSE), ('Difference', FALSE, FALSE), ('Aggregate', FALSE, FALSE), ('TopK', FALSE, FALSE)) v(node, linear, bilinear)")
+def _(s, d):
+    kinds = (p.Source, p.Where, p.Project, p.UnionAll, p.Negate, p.EquiJoin, p.ThetaJoin, p.Intersect, p.Distinct, p.Union, p.Difference, p.Aggregate, p.TopK)
+    return s.createDataFrame([(k.__name__, k.linear, k.bilinear) for k in kinds], "node string, linear boolean, bilinear boolean")
+
+
 # --- state between calls ---------------------------------------------------------------------------------------------
 
 
@@ -494,18 +583,63 @@ def _(s, d):
     return out(top.increment(o.where("o_orderkey % 10 >= 5")))
 
 
+TOP30 = "SELECT o_orderkey, o_totalprice, {w} AS w FROM ({rows}) ORDER BY o_totalprice DESC, o_orderkey LIMIT 30"
+HELD = "SELECT o_orderkey, o_totalprice FROM orders"
+#: Every seventh key moves to another price, with a delete that names a stale one; every eleventh goes by a stale delete.
+MOVED = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(1000 + o_orderkey % 500000 AS DOUBLE) ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0"
+
+
+@query("stateful_topk_keyed", f"SELECT o_orderkey, o_totalprice, CAST(SUM(w) AS BIGINT) AS w FROM (({TOP30.format(w=1, rows=MOVED)}) UNION ALL ({TOP30.format(w=-1, rows=HELD)})) GROUP BY 1, 2 HAVING SUM(w) <> 0")
+def _(s, d):
+    o = w.weighted(table(s, d, "orders").select("o_orderkey", "o_totalprice"))
+    top = StatefulTopK(s, dearest(), 30, key_cols=["o_orderkey"])
+    top.initialize(o)
+    stale = o.where("o_orderkey % 7 = 0 OR o_orderkey % 11 = 0").withColumn("o_totalprice", F.lit(-1.0)).withColumn(W, F.lit(-1).cast("long"))
+    moved = o.where("o_orderkey % 7 = 0").withColumn("o_totalprice", (1000 + F.col("o_orderkey") % 500000).cast("double"))
+    return out(top.increment(stale.unionByName(moved)))
+
+
+@query("topk_stats", f"SELECT CAST(count(*) AS BIGINT) AS records, CAST(30 AS BIGINT) AS in_window, CAST(2 AS BIGINT) AS versions FROM {O} WHERE w > 0")
+def _(s, d):
+    o = orders(s, d, "o_orderkey", "o_totalprice")
+    top = StatefulTopK(s, dearest(), 30)
+    top.initialize(o.where("o_orderkey % 10 < 5"))
+    top.increment(o.where("o_orderkey % 10 >= 5"))
+    n = top.stats()
+    return s.createDataFrame([(n["records"], n["window"], n["versions"])], "records long, in_window long, versions long")
+
+
+@query("join_circuit_view", merged("o_orderkey, o_custkey, c_custkey, c_mktsegment", f"(SELECT o_orderkey, o_custkey, c_custkey, c_mktsegment, o.w * c.w AS w FROM {O} o JOIN {C} c ON o_custkey = c_custkey)"))
+def _(s, d):
+    o, c = orders(s, d, "o_orderkey", "o_custkey"), customers(s, d, "c_custkey", "c_mktsegment").drop(T)
+    circuit = create_stateful_join(s, ["o_custkey"], ["c_custkey"])
+    circuit.initialize(o.where("o_orderkey % 10 < 5"), c)
+    circuit.increment(o.where("o_orderkey % 10 >= 5"), None)
+    return out(circuit.materialized_view())
+
+
+@query("join_indexes", f"SELECT 'l' AS side, o_orderkey AS k, o_custkey AS on_key, CAST(w AS BIGINT) AS w FROM {O} WHERE o_custkey <= 40 UNION ALL SELECT 'r', c_custkey, c_custkey, CAST(w AS BIGINT) FROM {C} WHERE c_custkey <= 40")
+def _(s, d):
+    join = StatefulEquiJoin(s, ["o_custkey"], ["c_custkey"])
+    join.initialize(orders(s, d, "o_orderkey", "o_custkey"), customers(s, d, "c_custkey").drop(T))
+    left, right = join.indexes(list(range(41)))
+    return out(w.union_all(left.select(F.lit("l").alias("side"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("on_key"), W), right.select(F.lit("r").alias("side"), F.col("c_custkey").alias("k"), F.col("c_custkey").alias("on_key"), W)))
+
+
 # --- keyed tables ----------------------------------------------------------------------------------------------------
 
 CUST = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
+#: As many customers again, under ids that are not in the table.
+MORE = "c_custkey + 10000000 AS c_custkey, c_name, c_nationkey, c_acctbal"
 
 
 def keyed(s, d):
-    return KeyedTable(table(s, d, "customer").select(*CUST).where("c_custkey % 5 <> 0"), "c_custkey")
+    return KeyedTable(table(s, d, "customer").select(*CUST), "c_custkey")
 
 
 def delta_sql(new: str) -> str:
     cols = ", ".join(CUST)
-    return f"SELECT {cols}, CAST(SUM(w) AS BIGINT) AS w FROM (SELECT {cols}, 1 AS w FROM ({new}) UNION ALL SELECT {cols}, -1 AS w FROM customer WHERE c_custkey % 5 <> 0) GROUP BY {cols} HAVING SUM(w) <> 0"
+    return f"SELECT {cols}, CAST(SUM(w) AS BIGINT) AS w FROM (SELECT {cols}, 1 AS w FROM ({new}) UNION ALL SELECT {cols}, -1 AS w FROM customer) GROUP BY {cols} HAVING SUM(w) <> 0"
 
 
 @query("table_create", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
@@ -514,24 +648,33 @@ def _(s, d):
     return t.to_df()
 
 
-@query("table_add", f"SELECT {', '.join(CUST)}, CAST(1 AS BIGINT) AS w FROM customer WHERE c_custkey % 5 = 0")
+@query("table_add", f"SELECT {MORE}, CAST(1 AS BIGINT) AS w FROM customer")
 def _(s, d):
-    return out(keyed(s, d).add(table(s, d, "customer").select(*CUST).where("c_custkey % 5 = 0")))
+    return out(keyed(s, d).add(table(s, d, "customer").selectExpr(*MORE.split(", "))))
 
 
-@query("table_upsert", delta_sql("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0"))
+@query("table_upsert", delta_sql(f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT {MORE} FROM customer"))
 def _(s, d):
     rows = table(s, d, "customer").select(*CUST).where("c_custkey % 3 = 0").withColumn("c_name", F.concat(F.upper("c_name"), F.lit("!")))
-    return out(keyed(s, d).upsert(rows))
+    return out(keyed(s, d).upsert(rows.unionByName(table(s, d, "customer").selectExpr(*MORE.split(", ")))))
+
+
+@query("table_upsert_repeated", delta_sql("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '9' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer"))
+def _(s, d):
+    t, times = keyed(s, d), F.explode(F.sequence(F.lit(7), F.lit(9))).alias("seq")
+    rows = table(s, d, "customer").select(*CUST, times).where("c_custkey % 3 = 0").withColumn("c_name", F.concat("c_name", F.col("seq").cast("string")))
+    delta = t.upsert(rows, seq="seq")
+    assert t.df.groupBy("c_custkey").count().where("count > 1").isEmpty()
+    return out(delta)
 
 
-@query("table_update", delta_sql("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 1 THEN NULL ELSE c_nationkey END AS c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0"))
+@query("table_update", delta_sql("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 1 THEN NULL ELSE c_nationkey END AS c_nationkey, c_acctbal FROM customer"))
 def _(s, d):
-    rows = table(s, d, "customer").where("c_custkey % 5 <> 0 AND c_custkey % 7 = 1").select("c_custkey", F.lit(None).cast("int").alias("c_nationkey"))
+    rows = table(s, d, "customer").where("c_custkey % 7 = 1").select("c_custkey", F.lit(None).cast("int").alias("c_nationkey"))
     return out(keyed(s, d).update(rows))
 
 
-@query("table_remove", delta_sql("SELECT * FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 <> 0"))
+@query("table_remove", delta_sql("SELECT * FROM customer WHERE c_custkey % 4 <> 0"))
 def _(s, d):
     return out(keyed(s, d).remove(table(s, d, "customer").where("c_custkey % 4 = 0")))
 
@@ -541,7 +684,7 @@ def _(s, d):
     return out(keyed(s, d).clear())
 
 
-@query("table_batch", delta_sql("SELECT c_custkey, c_name || '+' AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 6 NOT IN (0, 1)"))
+@query("table_batch", delta_sql("SELECT c_custkey, c_name || '+' AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 NOT IN (0, 1)"))
 def _(s, d):
     rows = table(s, d, "customer").select(*CUST)
     up = rows.where("c_custkey % 6 IN (0, 1)").withColumn("c_name", F.concat("c_name", F.lit("+"))).withColumn("__op", F.lit("upsert")).withColumn("__seq", F.lit(1))
@@ -549,14 +692,27 @@ def _(s, d):
     return out(keyed(s, d).batch(up.unionByName(gone)))
 
 
-@query("table_apply_delta", delta_sql("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 9 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 9 <> 4 OR c_custkey % 9 = 2"))
+@query("table_batch_delta", delta_sql("SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name || '+' ELSE c_name || '-' END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 IN (0, 2) UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 IN (3, 4, 5)"))
+def _(s, d):
+    rows = table(s, d, "customer").select(*CUST)
+    step = lambda x, op, seq, weight=None: x.withColumn("__op", F.lit(op)).withColumn("__seq", F.lit(seq)).withColumn(W, F.lit(weight).cast("long"))
+    named = lambda k, mark: rows.where(f"c_custkey % 6 = {k}").withColumn("c_name", F.concat("c_name", F.lit(mark)))
+    parts = [step(named(0, "+"), "upsert", 1), step(named(1, "+"), "upsert", 1), step(named(1, "+"), "delta", 2, -1), step(named(2, "x"), "remove", 1)]
+    parts += [step(named(2, ""), "delta", 2, -1), step(named(2, "-"), "delta", 2, 3), step(named(4, "?"), "delta", 1, 0)]
+    ops = parts[0]
+    for x in parts[1:]:
+        ops = ops.unionByName(x)
+    return out(keyed(s, d).batch(ops))
+
+
+@query("table_apply_delta", delta_sql("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 9 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 9 <> 4"))
 def _(s, d):
     rows = table(s, d, "customer").select(*CUST)
     new = w.weighted(rows.where("c_custkey % 9 = 2").withColumn("c_acctbal", F.col("c_acctbal") + 1), 5)
     return out(keyed(s, d).apply_delta(new.unionByName(w.weighted(rows.where("c_custkey % 9 = 4"), -1))))
 
 
-@query("table_subscribe", delta_sql("SELECT * FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 <> 0"))
+@query("table_subscribe", delta_sql("SELECT * FROM customer WHERE c_custkey % 4 <> 0"))
 def _(s, d):
     seen = []
     t = keyed(s, d)
@@ -565,10 +721,10 @@ def _(s, d):
     return out(seen[0])
 
 
-@query("table_get_size", "SELECT count(*) AS n, bool_or(c_custkey = 7) AS has_7, bool_or(c_custkey = 10) AS has_10 FROM customer WHERE c_custkey % 5 <> 0")
+@query("table_get_size", "SELECT count(*) AS n, bool_or(c_custkey = 7) AS has_7, bool_or(c_custkey = -10) AS has_10 FROM customer")
 def _(s, d):
     t = keyed(s, d)
-    return s.createDataFrame([(t.size(), t.has(7), t.has(10))], "n long, has_7 boolean, has_10 boolean")
+    return s.createDataFrame([(t.size(), t.has(7), t.has(-10))], "n long, has_7 boolean, has_10 boolean")
 
 
 # --- builder and views -----------------------------------------------------------------------------------------------
@@ -606,6 +762,32 @@ def _(s, d):
     return create_query(order_table(s, d)).where("o_totalprice > 100000").count().to_df().withColumnRenamed("count", "n")
 
 
+@query("builder_sum", "SELECT CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders")
+def _(s, d):
+    t = KeyedTable(table(s, d, "orders").select("o_orderkey", F.expr(PRICE).alias("price")), "o_orderkey")
+    return create_query(t).sum("price").to_df().select(F.col("sum").cast("double").alias("total"))
+
+
+@query("builder_average", "SELECT CAST(ROUND(AVG(o_orderkey), 4) AS DOUBLE) AS mean FROM orders")
+def _(s, d):
+    return create_query(order_table(s, d)).average("o_orderkey").to_df().select(F.round("average", 4).alias("mean"))
+
+
+@query("builder_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 12 OFFSET 7")
+def _(s, d):
+    return create_query(order_table(s, d)).select("o_orderkey", "o_totalprice").sort_by("o_totalprice", "o_orderkey", descending=True).limit(12, 7).to_df()
+
+
+@query("view_topk", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")
+def _(s, d):
+    o = order_table(s, d)
+    q = create_query(o).join(customer_table(s, d), "o_custkey", "c_custkey").select("o_orderkey", "c_name", "o_totalprice")
+    view = q.sort_by("o_totalprice", "o_orderkey", descending=True).limit(10).reactive()
+    o.remove(table(s, d, "orders").where("o_orderkey % 3 = 0"))
+    view.close()
+    return view.to_df()
+
+
 @query("builder_bag", "SELECT o_orderpriority FROM orders")
 def _(s, d):
     return create_query(order_table(s, d)).select("o_orderpriority").to_df(bag=True)
@@ -645,6 +827,12 @@ def _(s, d):
     return transitive_closure(edges, StateStore(s)).drop(W)
 
 
+@query("closure_tree", "WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
+def _(s, d):
+    edges = table(s, d, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("src"), F.expr("CAST(c_custkey DIV 2 AS BIGINT)").alias("dst"))
+    return transitive_closure(edges.select(F.col("src").cast("long").alias("src"), "dst"), StateStore(s)).drop(W)
+
+
 # --- Spark's own, over the same model --------------------------------------------------------------------------------
 
 

@@ -183,13 +183,13 @@ class KeyedTable:
         a positive row of a delta replaces its id, a negative one removes it, one of weight 0 does nothing. Of each id the
         last operation counts; rows of one delta share their ``__seq``, and among them positive ones come last.
         """
-        order, rows = F.col(SEQ), operations
+        rows = operations
         if W in operations.columns:
             delta = F.col(OP) == "delta"
             rows = operations.where(~delta | (F.coalesce(F.col(W), F.lit(0)) != 0))
             order = F.struct(F.col(SEQ), F.coalesce(delta & (F.col(W) > 0), F.lit(False)))
-            rows = rows.withColumn(OP, F.when(delta, F.when(F.col(W) > 0, "upsert").otherwise("remove")).otherwise(F.col(OP)))
-        rows = rows.withColumn(SEQ, order).select(*quoted([*self.schema.names, OP, SEQ]))
+            rows = rows.withColumn(SEQ, order).withColumn(OP, F.when(delta, F.when(F.col(W) > 0, "upsert").otherwise("remove")).otherwise(F.col(OP)))
+        rows = rows.select(*quoted([*self.schema.names, OP, SEQ]))
         if not rows.where(F.col(f"`{self.id_col}`").isNull()).isEmpty():
             raise ValueError(f"an id is NULL: {self.id_col}")
         last = self.staged.commit(last_by_id(rows, self.id_col, SEQ))

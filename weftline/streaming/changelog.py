@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.weights import T, W, add, consolidate, empty_like, negate, union_all, weighted
 from ..operators import incremental as inc
 from ..operators import relational as r
+from ..operators.zset import Pair, ZSet
+
+OUTER = "__t0"
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,58 @@ class Stream:
         return Stream(empty_like(self.log))
 
 
+@dataclass(frozen=True)
+class TupleStream:
+    """Two streams as one of pairs: at each time that either has, a Z-set of both."""
+
+    left: Stream
+    right: Stream
+
+    def at(self, time: int) -> Pair:
+        return Pair(ZSet(self.left.at(time), True), ZSet(self.right.at(time), True))
+
+    def times(self) -> list[int]:
+        both = self.left.log.select(T).union(self.right.log.select(T))
+        return [x[0] for x in both.distinct().orderBy(T).collect()]
+
+    def entries(self) -> Iterator[tuple[int, Pair]]:
+        return ((t, self.at(t)) for t in self.times())
+
+
+def tuple_stream(left: Stream, right: Stream) -> TupleStream:
+    return TupleStream(left, right)
+
+
+@dataclass(frozen=True)
+class Nested:
+    """A stream of streams: a changelog with an outer time ``__t0`` beside the inner one."""
+
+    log: DataFrame
+
+    def at(self, outer: int) -> Stream:
+        return Stream(self.log.where(F.col(OUTER) == outer).drop(OUTER))
+
+    def times(self) -> list[int]:
+        return [x[0] for x in self.log.select(OUTER).distinct().orderBy(OUTER).collect()]
+
+    def set(self, outer: int, stream: Stream) -> Nested:
+        return Nested(union_all(self.log.where(F.col(OUTER) != outer), stream.log.withColumn(OUTER, F.lit(outer).cast("long"))))
+
+    def lift(self, operator: Callable[[Stream], Stream]) -> Nested:
+        """The operator applied to each inner stream, in one job: the outer time goes along as a column of the record.
+
+        Right for operators that treat records one by one or compare them for equality, as filter, delay, integrate (up to a
+        stated end), differentiate and distinct do. Aggregates and top-k take ``__t0`` among their groups, or use
+        :meth:`lift_each`.
+        """
+        return Nested(operator(Stream(self.log)).log)
+
+    def lift_each(self, operator: Callable[[Stream], Stream]) -> Nested:
+        """Any operator, applied to one inner stream after the other: a plan for each outer time, of which there are few."""
+        found = [operator(self.at(t)).log.withColumn(OUTER, F.lit(t).cast("long")) for t in self.times()]
+        return Nested(reduce(union_all, found)) if found else self
+
+
 @dataclass(frozen=True)
 class Circuit:
     """A function from changelogs to a changelog, made of named parts that can be put behind each other."""
@@ -87,8 +143,9 @@ class Circuit:
         """The chain rule: the incremental form of a composition is the composition of the incremental forms."""
         return Circuit(lambda *logs: then.run(self.run(*logs)), self.linear and then.linear, self.parts + then.parts)
 
-    def execute(self, *streams: Stream) -> Stream:
-        return Stream(self.run(*[s.log for s in streams]))
+    def execute(self, *streams: Stream | TupleStream) -> Stream:
+        flat = [x for s in streams for x in ((s.left, s.right) if isinstance(s, TupleStream) else (s,))]
+        return Stream(self.run(*[s.log for s in flat]))
 
     @staticmethod
     def where(condition: Column | str) -> Circuit:
