@@ -36,13 +36,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 1
         from pyspark import TaskContext
 
         encode, shard, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        last = int(end_id).to_bytes(2, "little")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ids = [np.append(encode.ids(t), end_id).astype(np.int32) for t in part.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = [encode.packed(t or "") + last for t in part.column(1).to_pylist()]
+                n = np.array([len(x) // 2 for x in ids], np.int64)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids)))
+                values = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
                 start = at + ends - n
                 at += int(ends[-1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(start), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"])

@@ -37,31 +37,41 @@ _LETTERS = _byte_letters()
 
 
 class _Cut(dict):
-    """Cut -> its ids as little-endian uint16."""
+    """Cut -> its ids as little-endian uint16. Cuts that differ in a mark behind them share the ids of their letters."""
 
     def __init__(self, tokenizer, lower: bool):
         self.model, self.lower = tokenizer.model, lower
+        self.splits: dict[str, bytes] = {}
 
     def __missing__(self, cut: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        plain = cut.isascii()
-        word = cut.lower() if self.lower and plain else "".join(map(str.lower, cut)) if self.lower else cut if cut[:1] == "\n" else " " + cut
+            self.splits.clear()
+        # Letter by letter, as a sigma's lower case must not depend on what follows it.
+        word = (cut.lower() if cut.isascii() else "".join(map(str.lower, cut))) if self.lower else cut if cut[:1] == "\n" else " " + cut
         stem = word[not self.lower :]
         if stem.isalpha():  # letters only, perhaps with a mark behind, need no search for splits
-            splits = [word]
+            out = self._encoded(word)
         elif stem[-1:] in (",", ".") and stem[:-1].isalpha():
-            splits = [word[:-1], word[-1]]
+            out = self[cut[:-1]] + self._split(word[-1])
         else:
-            splits = (_SPLIT_WORDS if self.lower else _SPLIT_BYTES).findall(word)
-        ids = array("H")
-        for s in splits:
-            # Printable bytes are their own letters, so that only other ones need the table.
-            letters = s if plain and self.lower else "\u0120" + s[1:] if plain and s[:1] == " " and s[1:].isalnum() else s.encode().decode("latin-1").translate(_LETTERS)
-            ids.extend([t.id for t in self.model.tokenize(letters)])
-        self[cut] = out = ids.tobytes()
+            out = b"".join(map(self._split, (_SPLIT_WORDS if self.lower else _SPLIT_BYTES).findall(word)))
+        self[cut] = out
         return out
 
+    def _split(self, split: str) -> bytes:
+        if (out := self.splits.get(split)) is None:
+            self.splits[split] = out = self._encoded(split)
+        return out
+
+    def _encoded(self, split: str) -> bytes:
+        # Printable bytes are their own letters, so that only other ones need the table.
+        if split.isascii() and (self.lower or split[:1] == " " and split[1:].isalnum()):
+            letters = split if self.lower else "\u0120" + split[1:]
+        else:
+            letters = split.encode().decode("latin-1").translate(_LETTERS)
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
 
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, in which a special string is its one id."""
@@ -89,7 +99,7 @@ class Encoder:
         if self.words:
             if odd or not plain and not unicodedata.is_normalized("NFC", text):
                 return self._whole(text)
-            return b"".join(map(self.cuts.__getitem__, text.split()))
+            return b"".join(map(self.cuts.__getitem__, (text if "\u03a3" in text else text.lower()).split()))
         if odd and _UNSURE.search(text) or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text.endswith("\n\n"):
             return self._whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
