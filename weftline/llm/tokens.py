@@ -18,7 +18,7 @@ import regex
 from .common import own_cache
 
 #: Cached cuts of one worker process; the cache is emptied when full.
-CACHE = 600_000
+CACHE = 800_000
 _UNSURE = re.compile(r"\s | \s|\s\s\s|\s\s\Z")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
