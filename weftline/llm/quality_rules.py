@@ -122,14 +122,14 @@ def _references(rows: DataFrame, column: str) -> DataFrame:
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
-    """Distance between two histograms that each add up to 1: the root of the divergence to base 2."""
+    """Distance between two histograms that each add up to 1: the root of the divergence to base 2; NULL without either."""
 
     def part(x, y):
         m = (x + y) / 2
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
     both = F.zip_with(p, q, lambda x, y: (part(x, y) + part(y, x)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x)))
+    return F.when(both.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x))))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
