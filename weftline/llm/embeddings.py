@@ -28,8 +28,10 @@ from .graph import components
 THRESHOLD = 0.95
 #: Neighbours below this cosine are not kept; members of a list at first and at most; tables of hyperplanes in a round.
 WALK, LIST, MOST, TABLES = 0.7, 8, 64, 2
+#: Neighbours in whose cells a class looks in one round; of a longer list others in each round.
+VISITS = 8
 #: Members that a cell should have, rows of cells for a task, rows of the graph for a task.
-CELL, MEETING, PARTITION = 192, 16384, 4096
+CELL, MEETING, PARTITION = 192, 16384, 1024
 #: Rounds after which all is compared exactly, classes in the audit, the share of their links that must have been found.
 ROUNDS, AUDIT, RECALL = 12, 512, 0.999
 #: Exact comparison: rows and columns of a block, numbers in a part that is sent to all tasks.
@@ -92,14 +94,18 @@ def _meet(bits: int, round_: int, whole: bool):
             lists = batch.column("near")
             n = np.diff(lists.offsets.to_numpy())
             if n.sum():
-                who += [np.repeat(np.arange(len(n)), n), np.flatnonzero(n)]
-                cells += [_mixed(np.asarray(lists.flatten()), 0), _mixed(ids[n > 0], 0)]
+                near, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((_mixed(near, round_ + 1), owner))
+                near = near[order][np.arange(len(near)) - np.repeat(np.cumsum(n) - n, n) < VISITS]
+                who += [np.repeat(np.arange(len(n)), np.minimum(n, VISITS)), np.flatnonzero(n)]
+                cells += [_mixed(near, 0), _mixed(ids[n > 0], 0)]
             at = pa.array(np.concatenate(who) if who else np.zeros(0, np.int64))
             columns, names = [pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)), batch.column("id").take(at)], ["cell", "id"]
-            if whole:
+            if whole:  # the longest list full of links is not added to any more
+                room = pa.array(np.where(batch.column("linked").to_numpy() >= MOST, 0, batch.column("room").to_numpy()).astype(np.int32))
                 for a in range(0, len(at), 8192):
                     part = at.slice(a, 8192)
-                    yield pa.RecordBatch.from_arrays([columns[0].slice(a, 8192), columns[1].slice(a, 8192), batch.column("room").take(part), vectors.take(part)], names=[*names, "room", "embedding"])
+                    yield pa.RecordBatch.from_arrays([columns[0].slice(a, 8192), columns[1].slice(a, 8192), room.take(part), vectors.take(part)], names=[*names, "room", "embedding"])
             else:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -301,7 +307,7 @@ def descend(classes: DataFrame) -> tuple[DataFrame | None, float]:
     kind = classes.schema["embedding"].dataType.simpleString()
     schema = f"id long, embedding {kind}, m long, room int, near array<long>, cos array<double>, linked long, fresh long, wider boolean"
     none = F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("cos")
-    graph, recall = classes.select("id", "embedding", "m", F.lit(LIST).cast("int").alias("room"), *none), 0.0
+    graph, recall = classes.select("id", "embedding", "m", F.lit(LIST).cast("int").alias("room"), *none, F.lit(0).cast("long").alias("linked")), 0.0
     for k in range(ROUNDS):
         graph = _round(graph, n, k, schema)
         fresh, linked, wider = graph.agg(F.sum("fresh"), F.sum("linked"), F.max("wider")).first() if n else (0, 0, False)
