@@ -101,11 +101,11 @@ def by_snapshots(per_tick: Callable[..., DataFrame], *logs: DataFrame) -> DataFr
     return differences(per_tick(*[snapshots(log, times) for log in logs]), times)
 
 
-#: Levels of the tree over times: up to two to this power of different times.
-LEVELS = 30
-_NODES = f"""flatten(transform(sequence(0, {LEVELS}), l -> transform(filter(
+#: Of the blocks of 2^l times, l from 0 to ``__levels``, those that make up the span from ``__a`` up to ``__b``: a block that
+#: lies in the span while the block of twice the size around it does not.
+_NODES = """flatten(transform(sequence(0, __levels), l -> transform(filter(
     array_distinct(array(shiftright(__a + shiftleft(1L, l) - 1, l), shiftright(__b, l) - 1)),
-    j -> shiftright(__a + shiftleft(1L, l) - 1, l) <= shiftright(__b, l) - 1 AND (l = {LEVELS} OR NOT (
+    j -> shiftright(__a + shiftleft(1L, l) - 1, l) <= shiftright(__b, l) - 1 AND (l = __levels OR NOT (
         shiftleft(shiftright(j, 1), l + 1) >= __a AND shiftleft(shiftright(j, 1) + 1, l + 1) <= __b))),
     j -> struct(l AS level, j AS node))))"""
 
@@ -122,13 +122,14 @@ def top_k(log: DataFrame, order: Sequence[Column], k: int | None = None, offset:
         return consolidate(union_all(held, negate(top_k(log, order, offset)))) if offset else held
     names = record_columns(log)
     ticks = held.select(T).distinct().withColumn("__at", F.row_number().over(Window.orderBy(T)).cast("long") - 1)
+    levels = F.broadcast(ticks.agg(F.ceil(F.log2(F.max("__at") + 1)).cast("int").alias("__levels")))  # one row
     spans = held.withColumn("__until", F.lead(T).over(Window.partitionBy(*quoted(names)).orderBy(T))).where(F.col(W) > 0)
     spans = spans.join(ticks.select(F.col(T).alias("__t1"), F.col("__at").alias("__a")), F.col(T) == F.col("__t1"))
     spans = spans.join(ticks.select(F.col(T).alias("__t2"), F.col("__at").alias("__b")), F.col("__until") == F.col("__t2"), "left")
-    spans = spans.select(*quoted(names), "__a", F.coalesce("__b", F.lit(1 << LEVELS)).alias("__b"))
+    spans = spans.crossJoin(levels).select(*quoted(names), "__a", "__levels", F.coalesce("__b", F.expr("shiftleft(1L, __levels)")).alias("__b"))
     nodes = spans.select(*quoted(names), F.explode(F.expr(_NODES)).alias("__node")).select(*quoted(names), "__node.level", "__node.node")
     first = nodes.withColumn("__rank", F.row_number().over(Window.partitionBy("level", "node").orderBy(*order))).where(F.col("__rank") <= k + offset)
-    above = ticks.select(T, F.explode(F.expr(f"transform(sequence(0, {LEVELS}), l -> struct(l AS level, shiftright(__at, l) AS node))")).alias("n")).select(T, "n.level", "n.node")
+    above = ticks.crossJoin(levels).select(T, F.explode(F.expr("transform(sequence(0, __levels), l -> struct(l AS level, shiftright(__at, l) AS node))")).alias("n")).select(T, "n.level", "n.node")
     near = first.drop("__rank").join(above, ["level", "node"]).drop("level", "node")
     near = near.withColumn("__rank", F.row_number().over(Window.partitionBy(T).orderBy(*order)))
     window = near.where((F.col("__rank") > offset) & (F.col("__rank") <= offset + k)).drop("__rank").withColumn(W, F.lit(1).cast("long"))

@@ -179,8 +179,8 @@ class KeptAggregate(KeptState):
         return self._rows(self.groups.start(groups.withColumn(W, F.lit(1))), 1)
 
     def move(self, dz, version):
-        if self.set:
-            rows, alive = consolidate(dz), F.col(W)
+        if self.set:  # a record's weights add up within its group
+            rows, alive = dz, F.col(W)
         else:
             rows = self.weights.step(dz, version)[1]
             alive = (F.col("__o") + F.col(W) != 0).cast("long") - (F.col("__o") != 0).cast("long")
@@ -189,6 +189,7 @@ class KeptAggregate(KeptState):
         old = self.groups.lookup(change.select(*quoted(keys)), version).drop(W)
         new = self._typed(union_all(old, change.select(*old.columns))).groupBy(*quoted(keys)).agg(*[F.sum(c).cast(old.schema[c].dataType).alias(c) for c in old.columns if c not in keys])
         new = self.groups.append(new.withColumn(W, F.lit(1)), version).drop(W)
+        old = self.groups.lookup(new.select(*quoted(keys)), version).drop(W)  # now without the change itself
         return union_all(self._rows(new, 1), self._rows(old, -1))
 
 
@@ -199,6 +200,7 @@ class TopKState:
         self.order, self.k, self.offset = list(order), k, offset
         self.held = k + offset + max(SPARE, k + offset)
         self.weights, self.windows = Weights(spark, f"{path}/weights"), StateStore(spark, f"{path}/window")
+        self.known: dict[int, tuple[int, bool]] = {}  # of a version: rows, and whether these are all there are
 
     def _fill(self, version: int) -> DataFrame:
         """The first rows of all records; ``__all`` says whether these are all there are."""
@@ -207,6 +209,12 @@ class TopKState:
         all_ = F.max("__at").over(Window.partitionBy()) <= self.held
         return self.windows.commit(rows.withColumn("__all", all_).where(F.col("__at") <= self.held).drop(W), version)
 
+    def _about(self, version: int) -> tuple[int, bool]:
+        if version not in self.known:
+            n, all_ = self.windows.read(version).agg(F.count("*"), F.min("__all")).first()
+            self.known[version] = n, all_ is not False
+        return self.known[version]
+
     def window(self, rows: DataFrame) -> DataFrame:
         inside = rows.where((F.col("__at") > self.offset) & (F.col("__at") <= self.offset + self.k))
         return weighted(inside.drop("__at", "__all"))
@@ -219,13 +227,14 @@ class TopKState:
         return self.window(self.windows.read())
 
     def step(self, dz: DataFrame, version: int) -> DataFrame:
-        before = self.windows.read(max(v for v in self.windows.versions if v < version))
+        last_version = max(v for v in self.windows.versions if v < version)
+        before = self.windows.read(last_version)
         _, moved = self.weights.step(dz, version)
         turned = _turns(moved)
         if version in self.windows.versions:
             return union_all(self.window(self.windows.read(version)), negate(self.window(before)))
         names = record_columns(turned)
-        complete = before.agg(F.min("__all")).first()[0] is not False
+        complete = self._about(last_version)[1]
         coming = turned.where(F.col(W) > 0).drop(W).orderBy(*self.order).limit(self.held)
         going = turned.where(F.col(W) < 0).select(*quoted(names), F.lit(True).alias("__gone"))
         old = before.select(*quoted(names), F.lit(True).alias("__old"))
@@ -237,14 +246,16 @@ class TopKState:
         rows = rows.withColumn("__at", F.row_number().over(Window.orderBy("__at"))).withColumn("__n", F.max("__at").over(Window.partitionBy()))
         rows = rows.withColumn("__all", F.lit(complete) & (F.col("__n") <= self.held)).where(F.col("__at") <= self.held)
         new = self.windows.commit(rows.select(*quoted(names), "__at", "__all"), version)
-        if not complete and new.count() < self.k + self.offset:
+        if not complete and self._about(version)[0] < self.k + self.offset:
             self.windows.versions.remove(version)
+            del self.known[version]
             new = self._fill(version)
         return union_all(self.window(new), negate(self.window(before)))
 
     def reset(self) -> None:
         self.weights.state.reset()
         self.windows.reset()
+        self.known.clear()
 
 
 class KeptTopK(KeptState):

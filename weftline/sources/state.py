@@ -11,14 +11,14 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
 from ..functions.weights import W, consolidate, quoted, record_columns, union_all
 
-#: Changes after which a base is written anew.
-COMPACT = 16
+#: Changes after which a base is written anew; values of a key that are told to readers as a list.
+COMPACT, FEW = 16, 1000
 V = "__v"
 
 
@@ -48,6 +48,12 @@ def having(df: DataFrame, keys: DataFrame, names: Sequence[str], *, without: boo
     return df.alias("l").join(keys.alias("r"), same(names), "left_anti" if without else "left_semi")
 
 
+def told(keys: DataFrame, column: str) -> Column:
+    """A condition that readers can use to pass over row groups: the values of ``column`` in ``keys``, if they are few."""
+    found = {r[0] for r in keys.select(F.col(f"`{column}`")).limit(FEW + 1).collect()}
+    return F.lit(True) if len(found) > FEW or None in found else F.col(f"`{column}`").isin(list(found))
+
+
 class StateStore:
     """Versions of a DataFrame under one folder. Reading a version never sees files of an unfinished one."""
 
@@ -165,9 +171,11 @@ class DeltaState:
         return union_all(having(base, touched, names, without=True), moved)
 
     def of(self, records: DataFrame, before: int | None = None) -> DataFrame:
-        """The weights of the given records, as a Z-set; the state is read but not shuffled."""
+        """The weights of the given records, as a Z-set; the state is read but not shuffled, and for few records only where
+        row groups can hold them."""
         rows = self.read(before)
-        return consolidate(having(rows, records, record_columns(rows)))
+        names = record_columns(rows)
+        return consolidate(having(rows.where(told(records, names[0])), records, names))
 
     def vacuum(self) -> None:
         """Keep the last base and the changes since."""
@@ -222,10 +230,10 @@ class KeyedState:
         return union_all(kept.where(F.col(W) > 0), last)
 
     def lookup(self, keys: DataFrame, before: int | None = None, *, values: Sequence | None = None) -> DataFrame:
-        """The rows that hold of some keys. ``values``, if the caller has them, are a list of all values of a single key
-        column: readers then pass over row groups that cannot hold them."""
+        """The rows that hold of some keys. Readers pass over row groups that cannot hold few of them; ``values`` is the list
+        of all values of the first key column, if the caller has it."""
         base, changes = self._base(before), self._changes(before)
-        few = F.lit(True) if values is None else F.col(f"`{self.keys[0]}`").isin(list(values))
+        few = told(keys, self.keys[0]) if values is None else F.col(f"`{self.keys[0]}`").isin(list(values))
         found = []
         if base is not None:
             found.append(having(self.bases.read(base).where(few), keys, self.keys).withColumn(V, F.lit(base)))

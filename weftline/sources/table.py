@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
 from ..functions.weights import W, consolidate, negate, quoted, union_all, weighted
-from .state import KeyedState, StateStore, having, new_path
+from .state import FEW, KeyedState, StateStore, having, new_path
 
 Delta = Callable[[DataFrame], None]
 SEQ, OP = "__seq", "__op"
-#: Ids that are told to readers as a list of values.
-FEW = 1000
 
 
 def last_by_id(rows: DataFrame, id_col: str, order: str | None = None) -> DataFrame:
