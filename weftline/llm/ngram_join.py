@@ -37,7 +37,7 @@ BUCKET_BYTES, BUCKETS, LARGE_BUCKET = 8 << 20, 4096, 64 << 20
 #: Members and shingles of a block, queries to a block at once, min-hashes for grouping.
 BLOCK, BLOCK_TOKENS, QUERIES, HASHES = 512, 1_000_000, 2000, 4
 #: Documents of the sample and the share of them that makes a shingle a frequent one. Results do not depend on either.
-SAMPLE, FREQUENT = 20_000, 0.002
+SAMPLE, FREQUENT = 8_000, 0.0025
 _CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,7 +149,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
     drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     often = drawn.mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = often.where(F.col("n") >= max(50, math.ceil(FREQUENT * min(n, SAMPLE)))).orderBy(F.desc("n"), "token").limit(1 << 17).select("token").toArrow()
+    rows = often.where(F.col("n") >= max(20, math.ceil(FREQUENT * min(n, SAMPLE)))).orderBy(F.desc("n"), "token").limit(1 << 17).select("token").toArrow()
     return np.sort(rows.column("token").to_numpy().view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
 
 
