@@ -36,7 +36,7 @@ class LiveView:
             self.source.start(empty_like(consolidate(z)))
         contents = lambda name: self.source.read(version) if name == self.name else self.fixed[name]
         first = None
-        if self.kept.result.latest in (None, version) and len(self.kept.result.bases.versions) < 2:
+        if not any(v < version for v in self.kept.result.changes.versions):  # the first batch, perhaps repeated
             first = self.kept.start(lambda name: self.source.bases.read(0) if name == self.name else self.fixed[name])
         change = self.kept.step(contents, {self.name: self.source.append(consolidate(z), version)}, version)
         if self.on_change:
