@@ -3,6 +3,13 @@ replaced, sources are mixed to their weights, and what is left is packed into to
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows of
 a stage are written and read again before the next one begins.
+
+Defined results of all stages: null and empty texts are documents like others (they are not toxic, link with nothing, hold no
+personal data, have size 0 in the mix and are packed as the end token alone); null ids, languages and sources stay null, and
+a null source is a source of its own; rows that are repeated stay or go together in the first two stages and are documents of
+their own in the others; very long texts are treated whole; an empty table gives an empty table; ties do not matter but in the
+mix, where rows that share a key are taken together. Columns of other names than those of documents are carried along up to
+the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -54,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents; what is between two stages lies in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
