@@ -139,9 +139,9 @@ def test_blocks_are_spared_only_where_angles_prove_it():
     embeddings_block, embeddings_rows = embeddings.BLOCK, embeddings.ROWS
     try:
         embeddings.BLOCK, embeddings.ROWS = 8, 8
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array([r.tolist() for r in x], pa.list_(pa.float64()))], names=["id", "embedding"])
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "v"])
         n, edges = Counter(), []
-        for b in embeddings._compare(part, 0.95)([batch]):
+        for b in embeddings._compare(part, 0.95, "<f8")([batch]):
             for i, j, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n[i] += k
                 edges.append((i, j))

@@ -27,7 +27,7 @@ from .graph import components
 
 THRESHOLD = 0.95
 #: Neighbours below this cosine are not kept; members of a list at first and at most; tables of hyperplanes in a round.
-WALK, LIST, MOST, TABLES = 0.7, 8, 64, 2
+WALK, LIST, MOST, TABLES = 0.7, 16, 64, 2
 #: Neighbours in whose cells a class looks in one round; of a longer list others in each round.
 VISITS = 8
 #: Members that a cell should have, rows of cells for a task, rows of the graph for a task.
@@ -37,29 +37,62 @@ ROUNDS, AUDIT, RECALL = 12, 512, 0.999
 #: Exact comparison: rows and columns of a block, numbers in a part that is sent to all tasks.
 ROWS, BLOCK, PART = 256, 1024, 1 << 22
 JOINED = "id long, other long, n long"
+GRAPH = "id long, v binary, m long, room int, near binary, cos binary, linked long, fresh long, wider boolean"
 
 
-def usable(vec_col: str = "embedding"):
-    """Not null, no null or non-finite component, not zero."""
-    v = F.col(vec_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+def _packed(kind: str):
+    """(id, vector as a list) -> (id, its numbers as bytes). Vectors that are null, zero or hold null or non-finite numbers,
+    and those of a null id, get null: they link with nothing. -0.0 and 0.0 are one."""
 
+    def run(batches):
+        no_cache()
+        for batch in batches:
+            vectors = batch.column(1)
+            offsets = np.asarray(vectors.offsets)
+            values = np.asarray(vectors.values.to_numpy(zero_copy_only=False), kind) + np.array(0, kind)
+            there, ids = vectors.is_valid().to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good = np.zeros(len(there), bool)
+            for k in np.flatnonzero(there & ids):
+                v = values[offsets[k] : offsets[k + 1]]
+                good[k] = np.isfinite(v).all() and v.any()
+            data = [values[a:b].tobytes() if g else None for a, b, g in zip(offsets[:-1], offsets[1:], good, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "v"])
+
+    return run
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
 
-def _matrix(column) -> np.ndarray:
+
+def _numbers(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, one row behind the other, and how many each has."""
+    offsets, data = _bytes(column)
+    return data[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _matrix(column: pa.BinaryArray, kind: str) -> np.ndarray:
     """Unit vectors in double precision; all of one length."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(column.flatten()).astype(float).reshape(len(column), -1)
+    flat = _numbers(column, kind)[0].astype(float).reshape(len(column), -1)
     flat = flat / np.abs(flat).max(1, keepdims=True) if flat.size else flat
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True)) if flat.size else flat
 
 
-def _by_length(column) -> dict[int, np.ndarray]:
+def _by_length(column: pa.BinaryArray, kind: str) -> dict[int, np.ndarray]:
     """Rows of a column of vectors, by the length of the vectors."""
-    dims = np.diff(column.offsets.to_numpy())
+    dims = _numbers(column, kind)[1]
     return {d: np.flatnonzero(dims == d) for d in np.unique(dims).tolist()}
 
 
+def _lists(numbers: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Numbers of some rows, row k before ``ends[k]``, as bytes."""
+    size = numbers.dtype.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.r_[0, ends] * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers).tobytes())])
+
+
 def _planes(bits: int, length: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, length)).standard_normal((bits, length))
 
@@ -77,7 +110,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _meet(bits: int, round_: int, whole: bool):
+def _meet(bits: int, round_: int, whole: bool, kind: str):
     """Rows of the graph -> a row for each cell that a class goes to; with its vector if ``whole``."""
 
     def run(batches):
@@ -85,16 +118,15 @@ def _meet(bits: int, round_: int, whole: bool):
         for batch in batches:
             ids = batch.column("id").to_numpy()
             who, cells = [], []
-            vectors = batch.column("embedding")
-            for length, rows in _by_length(vectors).items():
-                unit = _matrix(vectors.take(pa.array(rows)))
+            vectors = batch.column("v")
+            for length, rows in _by_length(vectors, kind).items():
+                unit = _matrix(vectors.take(pa.array(rows)), kind)
                 for t in range(TABLES):
                     who.append(rows)
                     cells.append(_mixed(_codes(unit, bits, round_ * TABLES + t), (length << 16) + (round_ << 4) + t + 1))
-            lists = batch.column("near")
-            n = np.diff(lists.offsets.to_numpy())
-            if n.sum():
-                near, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(n)), n)
+            near, n = _numbers(batch.column("near"), "<i8")
+            if len(near):
+                owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((_mixed(near, round_ + 1), owner))
                 near = near[order][np.arange(len(near)) - np.repeat(np.cumsum(n) - n, n) < VISITS]
                 who += [np.repeat(np.arange(len(n)), np.minimum(n, VISITS)), np.flatnonzero(n)]
@@ -105,24 +137,24 @@ def _meet(bits: int, round_: int, whole: bool):
                 room = pa.array(np.where(batch.column("linked").to_numpy() >= MOST, 0, batch.column("room").to_numpy()).astype(np.int32))
                 for a in range(0, len(at), 8192):
                     part = at.slice(a, 8192)
-                    yield pa.RecordBatch.from_arrays([columns[0].slice(a, 8192), columns[1].slice(a, 8192), room.take(part), vectors.take(part)], names=[*names, "room", "embedding"])
+                    yield pa.RecordBatch.from_arrays([columns[0].slice(a, 8192), columns[1].slice(a, 8192), room.take(part), vectors.take(part)], names=[*names, "room", "v"])
             else:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _cells(rows: pa.Table) -> pa.Table:
+def _cells(rows: pa.Table, kind: str) -> pa.Table:
     """All cosines inside each of some cells -> for each member those it is nearest to, as many as its list may hold."""
     rows = rows.combine_chunks()
     out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    vectors = rows.column("embedding").combine_chunks()
-    for _, mine in _by_length(vectors).items():
+    vectors = rows.column("v").combine_chunks()
+    for _, mine in _by_length(vectors, kind).items():
         part = rows.take(pa.array(mine))
         cell, salt, ids, room = (part.column(c).to_numpy() for c in ("cell", "salt", "id", "room"))
         order = np.lexsort((ids, salt, cell))
         cell, salt, ids, room = cell[order], salt[order], ids[order], room[order]
-        unit = _matrix(part.column("embedding").combine_chunks())[order]
+        unit = _matrix(part.column("v").combine_chunks(), kind)[order]
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1])])
         for a, b in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
             if b - a < 2:
@@ -147,12 +179,12 @@ def _merge(key, graph: pa.Table, found: pa.Table) -> pa.Table:
     """Lists with what has been found: the nearest of both, each once. Saturated lists get room for twice as many."""
     graph = graph.combine_chunks()
     ids, room = graph.column("id").to_numpy(), graph.column("room").to_numpy()
-    near, cos = graph.column("near").combine_chunks(), graph.column("cos").combine_chunks()
-    held = np.repeat(np.arange(len(ids)), np.diff(near.offsets.to_numpy()))
+    (near, held), (cos, _) = _numbers(graph.column("near").combine_chunks(), "<i8"), _numbers(graph.column("cos").combine_chunks(), "<f8")
+    held = np.repeat(np.arange(len(ids)), held)
     by_id = np.argsort(ids)
     at = by_id[np.searchsorted(ids, found.column("id").to_numpy(), sorter=by_id)]
-    who, other = np.r_[held, at], np.r_[np.asarray(near.flatten()), found.column("other").to_numpy()]
-    value, new = np.r_[np.asarray(cos.flatten()), found.column("cos").to_numpy()], np.r_[np.zeros(len(held), bool), np.ones(len(at), bool)]
+    who, other = np.r_[held, at], np.r_[near, found.column("other").to_numpy()]
+    value, new = np.r_[cos, found.column("cos").to_numpy()], np.r_[np.zeros(len(held), bool), np.ones(len(at), bool)]
     order = np.lexsort((new, other, who))
     who, other, value, new = who[order], other[order], value[order], new[order]
     first = np.r_[True, (who[1:] != who[:-1]) | (other[1:] != other[:-1])][: len(who)]
@@ -164,52 +196,51 @@ def _merge(key, graph: pa.Table, found: pa.Table) -> pa.Table:
     linked = np.bincount(who[value >= THRESHOLD], minlength=len(ids))
     fresh = np.bincount(who[new & (value >= THRESHOLD)], minlength=len(ids))
     wider = (linked >= room) & (room < MOST)
-    ends = np.r_[0, np.cumsum(np.bincount(who, minlength=len(ids)))].astype(np.int32)
-    columns = {"id": graph.column("id"), "embedding": graph.column("embedding"), "m": graph.column("m"), "room": pa.array(np.where(wider, 2 * room, room).astype(np.int32))}
-    columns |= {"near": pa.ListArray.from_arrays(pa.array(ends), pa.array(other)), "cos": pa.ListArray.from_arrays(pa.array(ends), pa.array(value))}
+    ends = np.cumsum(np.bincount(who, minlength=len(ids)))
+    columns = {"id": graph.column("id"), "v": graph.column("v"), "m": graph.column("m"), "room": pa.array(np.where(wider, 2 * room, room).astype(np.int32))}
+    columns |= {"near": _lists(other.astype("<i8"), ends), "cos": _lists(value.astype("<f8"), ends)}
     columns |= {"linked": pa.array(linked.astype(np.int64)), "fresh": pa.array(fresh.astype(np.int64)), "wider": pa.array(wider)}
     return pa.table(columns)
 
 
-def _round(graph: DataFrame, n: int, round_: int, schema: str) -> DataFrame:
+def _round(graph: DataFrame, n: int, round_: int, kind: str) -> DataFrame:
     """One round of descent over the whole graph. A cell with many members is split, otherwise in each round."""
     bits = max(0, math.ceil(math.log2(max(1, n) / CELL)))
-    cells = graph.mapInArrow(_meet(bits, round_, False), "cell long, id long").groupBy("cell").agg(F.count("*").alias("n"))
+    cells = graph.mapInArrow(_meet(bits, round_, False, kind), "cell long, id long").groupBy("cell").agg(F.count("*").alias("n"))
     hot = saved(cells.groupBy((F.col("n") > CELL).alias("many"), F.when(F.col("n") > CELL, F.col("cell")).alias("cell")).agg(F.sum("n").alias("n")))
     total = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = hot.where("many").select(F.col("cell").alias("c_"), F.ceil(F.col("n") / CELL).alias("parts"))
-    kind = graph.schema["embedding"].dataType.simpleString()
-    rows = graph.mapInArrow(_meet(bits, round_, True), f"cell long, id long, room int, embedding {kind}").join(small(parts), F.col("cell") == F.col("c_"), "left")
+    rows = graph.mapInArrow(_meet(bits, round_, True, kind), "cell long, id long, room int, v binary").join(small(parts), F.col("cell") == F.col("c_"), "left")
     rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(round_)), F.col("parts")), F.lit(0)).cast("long"))
     task = F.pmod(F.xxhash64("cell", "salt"), F.lit(max(1, math.ceil(total / MEETING)))).alias("task")
-    found = rows.select(task, "cell", "salt", "id", "room", "embedding").groupBy("task").applyInArrow(_cells, "id long, other long, cos double")
+    found = rows.select(task, "cell", "salt", "id", "room", "v").groupBy("task").applyInArrow(lambda rows: _cells(rows, kind), "id long, other long, cos double")
     part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / PARTITION))))).groupBy("part")
-    out = saved(part(graph).cogroup(part(found)).applyInArrow(_merge, schema))
+    out = saved(part(graph).cogroup(part(found)).applyInArrow(_merge, GRAPH))
     release(graph, hot)
     return out
 
 
-def _recall(graph: DataFrame) -> float:
+def _recall(graph: DataFrame, kind: str) -> float:
     """Of the links of a bounded sample of classes, drawn by a hash of the id, the share that their lists hold.
 
     Classes of dense clumps are compared exactly anyway and are left out.
     """
-    drawn = graph.where(F.col("linked") < MOST).orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "embedding", F.col("linked").alias("m")).toArrow()
+    drawn = graph.where(F.col("linked") < MOST).orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "v", F.col("linked").alias("m")).toArrow()
     held = sum(drawn.column("m").to_pylist())
-    part = _part(drawn)
+    part = _part(drawn, kind)
 
     def run(batches):
         for batch in batches:
             n = 0
-            for length, rows in _by_length(batch.column(1)).items():
+            for length, rows in _by_length(batch.column(1), kind).items():
                 if length in part:
                     ids, unit = part[length].ids, part[length].unit
-                    own, mine = batch.column(0).to_numpy()[rows], _matrix(batch.column(1).take(pa.array(rows)))
+                    own, mine = batch.column(0).to_numpy()[rows], _matrix(batch.column(1).take(pa.array(rows)), kind)
                     for a in range(0, len(own), ROWS):
                         n += int(((mine[a : a + ROWS] @ unit.T >= THRESHOLD) & (own[a : a + ROWS, None] != ids)).sum())
             yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    true = graph.select("id", "embedding").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    true = graph.select("id", "v").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return held / true if true else 1.0
 
 
@@ -229,11 +260,11 @@ class _Part:
         return centre, float(np.arccos(np.clip((block @ centre).min(), -1, 1)))
 
 
-def _part(rows: pa.Table) -> dict[int, _Part]:
+def _part(rows: pa.Table, kind: str) -> dict[int, _Part]:
     rows = rows.combine_chunks()
-    vectors = rows.column("embedding").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.float64()))
+    vectors = rows.column("v").combine_chunks() if len(rows) else pa.array([], pa.binary())
     ids, m = rows.column("id").to_numpy(), rows.column("m").to_numpy().astype(float)
-    return {d: _Part(ids[k], _matrix(vectors.take(pa.array(k))), m[k], BLOCK) for d, k in _by_length(vectors).items()}
+    return {d: _Part(ids[k], _matrix(vectors.take(pa.array(k)), kind), m[k], BLOCK) for d, k in _by_length(vectors, kind).items()}
 
 
 def _groups(i: np.ndarray, j: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,17 +281,17 @@ def _groups(i: np.ndarray, j: np.ndarray, columns: int) -> tuple[np.ndarray, np.
         label = new
 
 
-def _compare(part: dict[int, _Part], threshold: float):
-    """Rows (id, embedding) against a part, as :data:`JOINED`. Angles obey the triangle inequality, which spares blocks."""
+def _compare(part: dict[int, _Part], threshold: float, kind: str):
+    """Rows (id, v) against a part, as :data:`JOINED`. Angles obey the triangle inequality, which spares blocks."""
     limit, margin = math.acos(threshold), 1e-6
 
     def run(batches):
         no_cache()
         for batch in batches:
-            for length, rows in _by_length(batch.column(1)).items():
+            for length, rows in _by_length(batch.column(1), kind).items():
                 if length not in part:
                     continue
-                mine, theirs = _Part(batch.column(0).to_numpy()[rows], _matrix(batch.column(1).take(pa.array(rows))), np.ones(len(rows)), ROWS), part[length]
+                mine, theirs = _Part(batch.column(0).to_numpy()[rows], _matrix(batch.column(1).take(pa.array(rows)), kind), np.ones(len(rows)), ROWS), part[length]
                 for r, (centre, radius) in enumerate(mine.balls):
                     a, x = mine.ids[r * ROWS : (r + 1) * ROWS], mine.unit[r * ROWS : (r + 1) * ROWS]
                     for c, (other, reach) in enumerate(theirs.balls):
@@ -287,37 +318,44 @@ def _compare(part: dict[int, _Part], threshold: float):
     return run
 
 
-def links(classes: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """All classes of a saved table (id, embedding, m) compared exactly, as :data:`JOINED`: edges that join what links, and
+def links(classes: DataFrame, kind: str, *, threshold: float = THRESHOLD) -> DataFrame:
+    """All classes of a saved table (id, v, m) compared exactly, as :data:`JOINED`: edges that join what links, and
     how many vectors of other classes each class links with (each class counts ``m`` times), as sums over its rows."""
-    n, numbers = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
-    rows = saved(classes.select("id", "embedding").repartition(max(1, math.ceil(n / PARTITION)), "id"))
-    parts = max(1, math.ceil(numbers / PART))
+    n, numbers = classes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()
+    rows = saved(classes.select("id", "v").repartition(max(1, math.ceil(n / PARTITION)), "id"))
+    parts = max(1, math.ceil(numbers / np.dtype(kind).itemsize / PART))
     dealt, joined = F.pmod(F.xxhash64("id"), F.lit(parts)), None
     for k in range(parts):
-        part = _part(classes.where(dealt == k).select("id", "embedding", "m").toArrow())
-        told = saved(rows.mapInArrow(tidy(_compare(part, threshold)), JOINED))
+        part = _part(classes.where(dealt == k).select("id", "v", "m").toArrow(), kind)
+        told = saved(rows.mapInArrow(tidy(_compare(part, threshold, kind)), JOINED))
         joined = told if joined is None else joined.unionByName(told)
     return joined
 
 
-def descend(classes: DataFrame) -> tuple[DataFrame | None, float]:
-    """(graph, audited recall) for a saved table (id, embedding, m) of distinct vectors; no graph if the rounds ran out."""
+def descend(classes: DataFrame, kind: str) -> tuple[DataFrame | None, float]:
+    """(graph, audited recall) for a saved table (id, v, m) of distinct vectors; no graph if the rounds ran out."""
     n = classes.count()
-    kind = classes.schema["embedding"].dataType.simpleString()
-    schema = f"id long, embedding {kind}, m long, room int, near array<long>, cos array<double>, linked long, fresh long, wider boolean"
-    none = F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("cos")
-    graph, recall = classes.select("id", "embedding", "m", F.lit(LIST).cast("int").alias("room"), *none, F.lit(0).cast("long").alias("linked")), 0.0
+    none = F.lit(b"").cast("binary")
+    graph, recall = classes.select("id", "v", "m", F.lit(LIST).cast("int").alias("room"), none.alias("near"), none.alias("cos"), F.lit(0).cast("long").alias("linked")), 0.0
     for k in range(ROUNDS):
-        graph = _round(graph, n, k, schema)
+        graph = _round(graph, n, k, kind)
         fresh, linked, wider = graph.agg(F.sum("fresh"), F.sum("linked"), F.max("wider")).first() if n else (0, 0, False)
         if not wider and (fresh or 0) <= 0.001 * (linked or 0):
-            recall = _recall(graph)
+            recall = _recall(graph, kind)
             if recall >= RECALL:
                 return graph, recall
     return None, recall
 
 
+def _held(batches):
+    """Rows of the graph -> a row for each link that a list holds."""
+    for batch in batches:
+        (near, n), (cos, _) = _numbers(batch.column("near"), "<i8"), _numbers(batch.column("cos"), "<f8")
+        at, linked = np.repeat(np.arange(len(n)), n), cos >= THRESHOLD
+        rows = pa.array(at[linked])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("m").take(rows), pa.array(near[linked])], names=["id", "m", "other"])
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept, recall) for every row; ``recall`` is what the audit found, the same in every row.
 
@@ -326,31 +364,29 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     if their vectors link; vectors of different length never link; an empty table gives an empty table; other columns are
     not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
-    rows = rows.withColumn("ok", usable() & F.col("id").isNotNull())
-    zero = F.transform("embedding", lambda x: x + F.lit(0).cast("tinyint"))  # -0.0 and 0.0 are one
-    rows = saved(rows.withColumn("embedding", F.when(F.col("ok"), zero)))
-    good = rows.where("ok")
-    classes = saved(good.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    graph, recall = descend(classes) if threshold == THRESHOLD else (None, 1.0)
+    kind = "<f8" if vectors.schema[vec_col].dataType.elementType.typeName() == "double" else "<f4"
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>" if kind == "<f8" else "array<float>").alias("embedding"))
+    rows = saved(given.mapInArrow(tidy(_packed(kind)), "id long, v binary"))
+    good = rows.where("v IS NOT NULL")
+    classes = saved(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    graph, recall = descend(classes, kind) if threshold == THRESHOLD else (None, 1.0)
     if graph is None:
-        joined, recall = links(classes, threshold=threshold), 1.0
+        joined, recall = links(classes, kind, threshold=threshold), 1.0
     else:
-        dense = saved(graph.where(F.col("linked") >= MOST).select("id", "embedding", "m"))
-        lists = graph.where(F.col("linked") < MOST).select("id", "m", F.explode(F.arrays_zip("near", "cos")).alias("x")).where(F.col("x.cos") >= THRESHOLD)
-        lists = lists.select("id", "m", F.col("x.near").alias("other"))
+        dense = saved(graph.where(F.col("linked") >= MOST).select("id", "v", "m"))
+        lists = graph.where(F.col("linked") < MOST).select("id", "m", "near", "cos").mapInArrow(_held, "id long, m long, other long")
         several = small(saved(classes.where("m > 1").select(F.col("id").alias("i_"), F.col("m").alias("m_"))))
         own = lists.join(several, F.col("other") == F.col("i_"), "left").select("id", "other", F.coalesce("m_", F.lit(1)).cast("long").alias("n"))
         back = lists.join(small(saved(dense.select(F.col("id").alias("d_")))), F.col("other") == F.col("d_")).select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("m").alias("n"))
         joined = saved(own.unionByName(back))
         if not dense.isEmpty():
-            joined = joined.unionByName(links(dense))
+            joined = joined.unionByName(links(dense, kind))
     numbers = joined.groupBy("id").agg(F.sum("n").alias("n"))
     comps = components(joined.select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = classes.join(numbers.select(F.col("id").alias("a"), "n"), F.col("id") == F.col("a"), "left").join(comps, F.col("id") == F.col("node"), "left")
-    named = saved(named.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    linked = good.join(named, F.col("embedding") == F.col("e")).select("id", "n_links", "component_id")
-    alone = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    named = saved(named.select(F.col("v").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    linked = good.join(named, F.col("v") == F.col("e")).select("id", "n_links", "component_id")
+    alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(recall))
 
