@@ -11,11 +11,12 @@ Windows over sources hold one row for each source.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small, table
+from .common import BROADCAST_ROWS, saved, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
@@ -38,7 +39,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     """``docs`` with ``__size`` and the exponential key ``__key``, which depends on nothing but the row itself."""
     text = F.col(text_col)
     docs = docs.withColumn("__size", word_count(text))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, source_col, text), 11).cast("double") + 0.5) * 2.0**-53
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(source_col).cast("string"), text))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) * 2.0**-52
     weight = quality_weight(text, F.col("__size")) if quality is None else F.greatest(quality.cast("double"), F.lit(1e-6))
     return docs.withColumn("__key", -F.log(u) / weight)
 
@@ -63,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: float) ->
     return x.withColumn("target", F.least(cap.cast("double"), level * F.col("weight"))).drop("ratio", "level")
 
 
-def _crossing(rows: DataFrame, buckets: int) -> DataFrame:
+def _crossing(rows: DataFrame, buckets: int, narrow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """For rows (source, key, size, left): by source, the first key that no longer fits ``left``, and the sum before it.
 
     Sums by bucket of keys tell in which bucket a source's budget ends. A bucket with many rows is split again, over the
@@ -79,7 +81,7 @@ def _crossing(rows: DataFrame, buckets: int) -> DataFrame:
 
     def inside():
         last = found.where("lo IS NOT NULL").select(F.col("source").alias("s_"), F.col("base").alias("from"), F.col("lo").alias("a_"), F.col("hi").alias("b_"))
-        return rows.join(small(last), F.col("source").eqNullSafe(F.col("s_")) & (F.col("key") >= F.col("a_")) & (F.col("key") <= F.col("b_")))
+        return rows.join(narrow(last), F.col("source").eqNullSafe(F.col("s_")) & (F.col("key") >= F.col("a_")) & (F.col("key") <= F.col("b_")))
 
     while not found.where((F.col("n") > SORTED_ROWS) & (F.col("lo") < F.col("hi"))).isEmpty():
         part = F.when(F.col("b_") > F.col("a_"), F.floor((F.col("key") - F.col("a_")) / (F.col("b_") - F.col("a_")) * buckets)).otherwise(0).alias("bucket")
@@ -114,12 +116,13 @@ def plan_mix(
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, epochs).otherwise(0).cast("int"))
     plan = saved(plan.withColumn("left0", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))))
     buckets = math.isqrt(rows.count()) + 1
+    narrow = F.broadcast if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x  # one row for each source
     for k in range(ROUNDS):
         bound = plan.select(F.col("source").alias("s_"), F.col(f"left{k}").alias("left"), *([F.col(f"next{k}").alias("after")] if k else []))
-        found = rows.where("size > 0").join(small(bound), F.col("source").eqNullSafe(F.col("s_")))
+        found = rows.where("size > 0").join(narrow(bound), F.col("source").eqNullSafe(F.col("s_")))
         if k:
             found = found.where((F.col("key") > F.col("after")) & (F.col("size") <= F.col("left")))
-        found = _crossing(found.select("source", "key", "size", "left"), buckets)
+        found = _crossing(found.select("source", "key", "size", "left"), buckets, narrow)
         found = found.select(F.col("source").alias("s_"), "next_key", "next_size", "used")
         step = plan.join(found, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
         plan = step.withColumn(f"left{k + 1}", F.col(f"left{k}") - F.coalesce("used", F.lit(0)))
