@@ -282,7 +282,7 @@ def test_verdicts_equal_plain_divergence(spark):
 
     def reference(lang, at):
         shares = [share(x[at]) for x in seen.values() if x[0] == lang and x[1] >= quality_rules.MIN_WORDS]
-        return share([sorted(c)[math.ceil(len(c) / 2) - 1] for c in zip(*shares, strict=True)]) if shares else None
+        return share([math.floor(sorted(c)[math.ceil(len(c) / 2) - 1] * quality_rules.GRID) / quality_rules.GRID for c in zip(*shares, strict=True)]) if shares else None
 
     def distance(p, q):
         half = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x > 0)
@@ -468,6 +468,24 @@ def test_many_candidates_in_one_text(spark):
     assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op2_embeddings", "op6_quality_rules", "op8_ngram_join", "op9_mixing"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from weftline.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf), con.execute(ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 # --- the pipeline's stages -------------------------------------------------------------------------------------------
 
 

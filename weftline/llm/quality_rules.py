@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import no_cache, saved, slices, small, table, tidy
@@ -33,6 +33,8 @@ MIN_WORDS = 50
 #: Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected.
 #: The first grows for short documents, whose histograms are noisy: by NOISE over the root of the number of words.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, NOISE = 0.17, 0.60, 0.5
+#: Steps in which shares are counted.
+GRID = 100_000
 SCHEMA = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, words array<int>"
 
 
@@ -112,12 +114,16 @@ def _share(histogram: Column, total: Column) -> Column:
 def _references(rows: DataFrame, column: str) -> DataFrame:
     """For each language, the median of its documents' shares in each bin, brought to a sum of 1.
 
-    Medians, unlike means, do not move with the junk that is to be found. Their sketches are merged map-side.
+    Medians, unlike means, do not move with the junk that is to be found. Shares are taken in steps of 1 / GRID, so that they
+    can be counted map-side and the median of a bin is found exactly, among at most GRID + 1 counts.
     """
     bins = rows.where(F.col("n_words") >= MIN_WORDS).select("lang", F.posexplode(f"p_{column}").alias("bin", "share"))
-    medians = bins.groupBy("lang", "bin").agg(F.percentile_approx("share", 0.5, 1000).alias("share"))
+    steps = bins.groupBy("lang", "bin", F.floor(F.col("share") * GRID).alias("step")).agg(F.count("*").alias("n"))
+    by_bin = Window.partitionBy("lang", "bin")
+    steps = steps.withColumn("upto", F.sum("n").over(by_bin.orderBy("step"))).withColumn("all", F.sum("n").over(by_bin))
+    medians = steps.where(2 * F.col("upto") >= F.col("all")).groupBy("lang", "bin").agg((F.min("step") / GRID).alias("share"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"])
-    medians = medians.groupBy("lang").agg(ordered.alias("bins"), F.sum("share").alias("total"))
+    medians = medians.groupBy("lang").agg(ordered.alias("bins")).withColumn("total", F.aggregate("bins", F.lit(0.0), lambda a, x: a + x))
     return medians.select("lang", _share(F.col("bins"), F.col("total")).alias(f"ref_{column}"))
 
 
@@ -157,4 +163,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("lang")
+    out = judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("lang")
+    return out.withColumn("class_distance", F.round("class_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
