@@ -115,9 +115,8 @@ class StatefulTopK:
         on = [F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(self.key_cols)]
         both = net.join(old, on, "left").withColumn("__n", F.coalesce("__o", F.lit(0)) + F.col("__d"))
         both = both.withColumn("__record", F.coalesce("__new", "__old")).where("__record IS NOT NULL")
-        rows = both.select("__record.*", F.greatest(F.col("__n"), F.lit(0)).alias(W), F.col("__old"), F.coalesce("__o", F.lit(0)).alias("__o"))
-        rows = self.keyed.append(rows, version)
-        return union_all(rows.select(*quoted([*names, W])), negate(rows.where("__old IS NOT NULL").select("__old.*", F.col("__o").alias(W))))
+        rows = self.keyed.append(both.select("__record.*", F.greatest(F.col("__n"), F.lit(0)).alias(W)), version)
+        return union_all(rows, negate(self.keyed.lookup(rows.select(*keys), version)))
 
     def increment(self, change: DataFrame, *, seq: str | None = None) -> DataFrame:
         """Weights are netted over all changes, so that a delete may come before its insert."""
