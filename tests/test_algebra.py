@@ -110,3 +110,22 @@ def test_circuit_composition(spark):
     naive = Circuit.naive(lambda x: r.distinct(r.project(r.where(x, "v > 1"), "k")))
     assert rows(c.execute(Stream(log)).log) == rows(naive.execute(Stream(log)).log)
     assert c.parts == ("where", "project", "distinct") and not c.linear
+
+
+def test_products_are_merged_on_their_sides(spark):
+    """No shuffle holds the product, and repeats, cancelled records, NULLs and blocks change no weight."""
+    a, b = (union_all(random_zset(spark, s, 60).df, random_zset(spark, s + 1, 60).df) for s in (11, 13))
+    a = a.withColumnRenamed("v", "u")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for on in ("l.k = r.k AND l.u <= r.v", "l.u < r.v"):
+        want = rows(r.theta_join(a, b, F.expr(on), merge=False))
+        for spread in (1, 3):
+            got = r.theta_join(a, b, F.expr(on), spread=spread)
+            assert sorted(map(tuple, got.collect()), key=repr) == want
+            assert 0 < plan(got).find("Join") < plan(got).find("Aggregate")
+    assert plan(r.theta_join(a, b, F.expr("l.u < r.v"), spread=3)).count("SortMergeJoin") == 1
+    for got, want in ((r.cartesian(a, b), r.cartesian(a, b, merge=False)), (r.equi_join(a, b, ["k"]), r.equi_join(a, b, ["k"], merge=False))):
+        assert sorted(map(tuple, got.collect()), key=repr) == rows(want)

@@ -34,17 +34,27 @@ def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[Colum
     return a.alias("l"), b.alias("r"), out
 
 
-def _product(a: DataFrame, b: DataFrame, condition: Column | None, merge: bool) -> DataFrame:
+def _product(a: DataFrame, b: DataFrame, condition: Column | None, merge: bool, spread: int = 1) -> DataFrame:
     """The bilinear core. Over changelogs a match holds from the later of both times on, which adds up to the delta of
-    the join of both integrals; no state and no loop over times is needed."""
+    the join of both integrals; no state and no loop over times is needed.
+
+    To merge, the sides are consolidated, not the product, which may be as large as their product: records that occur
+    once make each match once. Only over changelogs can a match come at one time from several pairs of times.
+    """
+    if is_changelog(a) != is_changelog(b):
+        raise ValueError("join a changelog with a changelog, or a Z-set with a Z-set")
+    if merge:
+        a, b = consolidate(a), consolidate(b)
     left, right, out = _sides(a, b)
+    if spread > 1:
+        left = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).alias("l").hint("merge")
+        right = right.withColumn("__block", F.pmod(F.xxhash64(*quoted(keys(b))), F.lit(spread)).cast("int")).alias("r")
+        condition &= F.col("l.__block") == F.col("r.__block")
     joined = left.crossJoin(right) if condition is None else left.join(right, condition)
     weight = (F.col(f"l.{W}") * F.col(f"r.{W}")).cast("long").alias(W)
-    time = [F.greatest(f"l.{T}", f"r.{T}").alias(T)] if is_changelog(a) and is_changelog(b) else []
-    if is_changelog(a) != is_changelog(b):
-        raise ValueError("join a changelog with a changelog, or a Z-set with a Z-set")
+    time = [F.greatest(f"l.{T}", f"r.{T}").alias(T)] if is_changelog(a) else []
     product = joined.select(*out, *time, weight).where(F.col(W) != 0)
-    return consolidate(product) if merge else product
+    return consolidate(product) if merge and time else product
 
 
 def cartesian(a: DataFrame, b: DataFrame, *, merge: bool = True) -> DataFrame:
@@ -59,9 +69,13 @@ def equi_join(a: DataFrame, b: DataFrame, left_on: Sequence[str], right_on: Sequ
     return _product(a, b, match, merge)
 
 
-def theta_join(a: DataFrame, b: DataFrame, condition: Column, *, merge: bool = True) -> DataFrame:
-    """Inner join on any condition over ``l.`` and ``r.`` columns; Catalyst takes equalities out of it as keys."""
-    return _product(a, b, condition, merge)
+def theta_join(a: DataFrame, b: DataFrame, condition: Column, *, merge: bool = True, spread: int = 1) -> DataFrame:
+    """Inner join on any condition over ``l.`` and ``r.`` columns; Catalyst takes equalities out of it as keys.
+
+    Where keys have few values, ``spread`` deals the rows of ``b`` over so many blocks and copies those of ``a``, the smaller
+    side, to each: as many more tasks share the matches, and none holds more than a block of a key.
+    """
+    return _product(a, b, condition, merge, spread)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:

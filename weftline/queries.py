@@ -208,7 +208,7 @@ def _(s, d):
 def _(s, d):
     a = w.weighted(table(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"))
     b = w.weighted(table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"))
-    joined = r.theta_join(a, b, F.expr("l.s_nationkey = r.p_size AND l.s_acctbal > r.p_retailprice"))
+    joined = r.theta_join(a, b, F.expr("l.s_nationkey = r.p_size AND l.s_acctbal > r.p_retailprice"), spread=16)
     return out(joined.select("s_suppkey", "p_partkey", W))
 
 
