@@ -118,3 +118,23 @@ def test_closure_and_topk(spark):
     assert got(top.increment(z((4, 2000, 1)))) == [(2, 800, -1), (4, 2000, 1)]
     assert got(top.increment(z((4, 2000, -1)))) == [(2, 800, 1), (4, 2000, -1)]
     assert top.stats()["records"] == 3
+
+
+@pytest.mark.parametrize("edges", [
+    [(k, k // 2) for k in range(2, 80)],  # a tree, to the root and from it
+    [(k // 2, k) for k in range(2, 80)],
+    [(k, k + 1) for k in range(39)] + [(None, 5), (39, None)],  # a chain
+    [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 6), (7, 6)],  # cycles with paths into them
+    [(1, 2), (2, 1), (2, 3), (3, 4), (1, 4), (4, 5)],  # neither end is single
+])
+def test_closure_equals_search(spark, edges, monkeypatch):
+    store, written = StateStore(spark), []
+    commit = StateStore.commit
+    monkeypatch.setattr(StateStore, "commit", lambda self, *x: written.append(self.path) or commit(self, *x))
+    found = [tuple(x) for x in transitive_closure(spark.createDataFrame(edges, "src long, dst long"), store).select("src", "dst").collect()]
+    want, before = set(edges), None
+    while want != before:
+        before, want = want, want | {(a, d) for a, b in want for c, d in edges if b == c and b is not None}
+    assert len(found) == len(set(found)) and set(found) == want
+    if len(edges) == 41:
+        assert written.count(store.path) <= 8  # 40 edges in a row, but not as many rounds
